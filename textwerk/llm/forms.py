@@ -26,13 +26,13 @@ LOOK_ALIKES = {
     "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w",
 }
 # Characters without any ink, and spaces that look like the ordinary one.
-IGNORABLES = "­͏؜᠎​‌‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩︎️﻿"
-SPACES = "               　"
-JOINER = "‍"  # ignorable, but for its place between two pictographs, which it makes one
+IGNORABLES = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufe0e\ufe0f\ufeff"
+SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+JOINER = "\u200d"  # ignorable, but for its place between two pictographs, which it makes one
 #: Ranges of presentation forms: Latin ligatures, and full-width or half-width forms.
 FORM_RANGES = "ﬀ-ﬆ！-～￠-￦"
 #: A text without any of these characters is its own consistent form. Read alike by Java and Python.
-SUSPECT = f"[{IGNORABLES}{SPACES}{JOINER}{FORM_RANGES}̀-ͯ{''.join(LOOK_ALIKES)}]"
+SUSPECT = f"[{IGNORABLES}{SPACES}{JOINER}{FORM_RANGES}\u0300-\u036f{''.join(LOOK_ALIKES)}]"
 
 _suspect = re.compile(SUSPECT)
 _table = {ord(a): b for a, b in LOOK_ALIKES.items()} | {ord(c): None for c in IGNORABLES} | {ord(c): " " for c in SPACES}
