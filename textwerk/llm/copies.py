@@ -11,15 +11,14 @@ equal beginnings together; below it the digest's bytes are spread evenly, so the
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
 from .forms import same_text_key
+from .shared import BROADCAST_IDS, kept
 
 HEAD = 32
 #: Depths of the recursion in bytes. The first two bytes of the head, more of it, then into the digest.
@@ -54,18 +53,24 @@ def radix_buckets(keys: DataFrame, bucket_rows: int) -> DataFrame:
     """keys with ``bucket`` (the shortest prefix of ``key`` at one of DEPTHS with at most bucket_rows rows,
     else the longest) and ``hot`` (true: more than bucket_rows rows of one prefix of the longest depth,
     which are copies of one text). Only the rows of oversized buckets take part in the next split; the
-    oversized prefixes are at most rows / bucket_rows many."""
-    out = keys.withColumn("depth", F.lit(DEPTHS[0]))
-    over = None
-    for d, nxt in zip(DEPTHS, (*DEPTHS[1:], 0)):
-        part = keys if over is None else keys.join(over, F.substring("key", 1, last) == over["prefix"], "left_semi")
-        over = part.groupBy(F.substring("key", 1, d).alias("prefix")).count().where(F.col("count") > bucket_rows).select("prefix")
-        hit = over.select(F.col("prefix").alias("p"), F.lit(True).alias("is_over"))
-        out = out.join(hit, (F.substring("key", 1, d) == F.col("p")) & (F.col("depth") == d), "left")
-        out = out.withColumn("depth", F.when(F.col("is_over"), F.lit(nxt)).otherwise(F.col("depth"))).drop("p", "is_over")
-        last = d
-    hot = F.col("depth") == 0
-    return out.withColumn("hot", hot).withColumn("bucket", F.expr(f"substring(key, 1, if(depth = 0, {DEPTHS[-1]}, depth))")).drop("depth")
+    oversized prefixes of a depth are fewer than rows / bucket_rows."""
+    part, out, depth = keys, keys, F.lit(0)
+    for i, d in enumerate(DEPTHS):
+        prefix = F.substring("key", 1, d)
+        over = kept(part.groupBy(prefix.alias("prefix")).count().where(F.col("count") > bucket_rows).select("prefix"))
+        n = over.count()
+        small = F.broadcast(over) if n <= BROADCAST_IDS else over
+        if i:
+            out = out.withColumn("depth", depth)
+        if not n:
+            return out.withColumn("hot", F.lit(False)).withColumn("bucket", F.expr(f"substring(key, 1, if(depth > 0, depth, {d}))") if i else prefix).drop("depth")
+        out = out.join(small.select(F.col("prefix").alias("p"), F.lit(True).alias("is_over")), prefix == F.col("p"), "left")
+        if not i:
+            out = out.withColumn("depth", F.lit(0))
+        out = out.withColumn("depth", F.when((F.col("depth") == 0) & F.col("is_over").isNull(), d).otherwise(F.col("depth"))).drop("p", "is_over")
+        depth = F.col("depth")
+        part = part.join(small, prefix == F.col("prefix"), "left_semi")
+    return out.withColumn("hot", F.col("depth") == 0).withColumn("bucket", F.expr(f"substring(key, 1, if(depth > 0, depth, {DEPTHS[-1]}))")).drop("depth")
 
 
 class Trie:
@@ -125,7 +130,7 @@ def count_in_tries(buckets: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "row bigint, key binary, grp binary, part bigint, first bigint, copies bigint")
 
 
-def same_texts(df: DataFrame, id_col: str = "row_id", text_col: str = "text", by: str | None = None, bucket_rows: int = 20_000) -> DataFrame:
+def same_texts(df: DataFrame, id_col: str = "row_id", text_col: str = "text", by: str | None = None, bucket_rows: int = 100_000) -> DataFrame:
     """(row, key, first, copies) for each row with a letter or digit in its text: the smallest row of its
     group of same texts, and the number of rows of the group.
 
@@ -136,10 +141,12 @@ def same_texts(df: DataFrame, id_col: str = "row_id", text_col: str = "text", by
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = canonical(df, id_col, text_col, *([by] if by else []))
     grp: Column = F.coalesce(F.encode(F.concat(F.lit("="), F.col(by).cast("string")), "utf-8"), F.encode(F.lit(""), "utf-8")) if by else F.encode(F.lit(""), "utf-8")
-    keys = keys.select(F.col("row").cast("bigint"), "key", grp.alias("grp")).persist(StorageLevel.MEMORY_AND_DISK)
+    keys = kept(keys.select(F.col("row").cast("bigint"), "key", grp.alias("grp")))
     part = F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(8 * n))).otherwise(F.lit(-1)).cast("bigint")
     buckets = radix_buckets(keys, bucket_rows).withColumn("part", part)
-    counted = count_in_tries(buckets.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part")).persist(StorageLevel.MEMORY_AND_DISK)
+    counted = kept(count_in_tries(buckets.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part")))
+    if counted.where("part >= 0").isEmpty():
+        return counted.select("row", "key", "first", "copies")
     hot = counted.where("part >= 0")
     sums = hot.where("row = first").dropDuplicates(["key", "grp", "part"]).groupBy("key", "grp").agg(F.min("first").alias("f"), F.sum("copies").alias("c"))
     fixed = hot.join(sums, ["key", "grp"]).select("row", "key", F.col("f").alias("first"), F.col("c").alias("copies"))

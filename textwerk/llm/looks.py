@@ -20,12 +20,12 @@ import unicodedata
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
 from .forms import IGNORABLES, JOINER, SUSPECT, _table, consistent_form
+from .shared import kept
 
 # Characters that look like a Latin letter in some fonts and words only.
 MAYBE = {"α": "a", "β": "ß", "ε": "e", "κ": "k", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "η": "n", "и": "u", "к": "k", "п": "n", "т": "m", "г": "r", "в": "b", "м": "m", "н": "h"}
@@ -156,7 +156,7 @@ def consistent(df: DataFrame, id_col: str = "row_id", fields: tuple[str, ...] =
         any_odd = any_odd | f
     rows = rows.withColumn("odd", any_odd)
     clean = rows.where(~F.col("odd")).select("row", "odd", *(F.col(f"f{i}").alias(f) for i, f in enumerate(fields)))
-    odd = rows.where("odd").persist(StorageLevel.MEMORY_AND_DISK)
+    odd = kept(rows.where("odd"))
     stacked = F.explode(F.array(*(F.struct(F.lit(f"f{i}").alias("field"), F.col(f"f{i}").alias("text")) for i in range(len(fields)))))
     texts = odd.select("row", stacked.alias("x")).select("row", "x.field", "x.text").where(F.col("text").rlike(ODD))
     every = rows.select(F.explode(F.array(*(f"f{i}" for i in range(len(fields))))).alias("text")) if len(fields) > 1 else rows.select(F.col("f0").alias("text"))
@@ -194,9 +194,9 @@ def found(df: DataFrame) -> DataFrame:
     of each pair is odd: the odd records' forms, few, are what all forms are compared with, by two 64-bit
     hashes; clean records of the same form are equal as stored, and each is a pair with each odd one."""
     rows = consistent(df).where(F.col("source").isNotNull() & F.col("text").rlike(r"\S"))
-    hashed = rows.select("row", "odd", F.xxhash64("text", "source").alias("h1"), F.xxhash64(F.lit(1), F.reverse("text"), "source").alias("h2")).persist(StorageLevel.MEMORY_AND_DISK)
+    hashed = kept(rows.select("row", "odd", F.xxhash64("text", "source").alias("h1"), F.xxhash64(F.lit(1), F.reverse("text"), "source").alias("h2")))
     stored = df.select(F.col("row_id").cast("bigint").alias("row"), F.xxhash64("text", "source").alias("s1"), F.xxhash64(F.lit(1), F.reverse("text"), "source").alias("s2"))
-    odd = hashed.where("odd").join(stored, "row").select(F.col("row").alias("a"), "h1", "h2", "s1", "s2").persist(StorageLevel.MEMORY_AND_DISK)
+    odd = kept(hashed.where("odd").join(stored, "row").select(F.col("row").alias("a"), "h1", "h2", "s1", "s2"))
     other = hashed.where("not odd").select(F.col("row").alias("b"), "h1", "h2", F.col("h1").alias("t1"), F.col("h2").alias("t2"))
     other = other.unionByName(odd.select(F.col("a").alias("b"), "h1", "h2", F.col("s1").alias("t1"), F.col("s2").alias("t2")))
     pairs = odd.join(other, ["h1", "h2"]).where((F.col("a") != F.col("b")) & ((F.col("s1") != F.col("t1")) | (F.col("s2") != F.col("t2"))))

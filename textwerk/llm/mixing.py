@@ -15,11 +15,11 @@ from __future__ import annotations
 import base64
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
+from .shared import kept
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BITS, LEVELS = 10, 6
@@ -84,9 +84,9 @@ def mix(df: DataFrame, targets: DataFrame, budget: float | None = None, tokenize
     all. report: (source, target_share, max_repeats, source_tokens, mixed_tokens, actual_share), one row for each
     target, sources without documents too. Documents without a target, with a null source or without a text
     are in neither. The targets are few, one for a source; the report is as many rows."""
-    sizes = token_counts(df, tokenizer=tokenizer).where("source is not null").persist(StorageLevel.MEMORY_AND_DISK)
-    wanted = quotas(sizes, targets, budget).persist(StorageLevel.MEMORY_AND_DISK)
-    bounds = thresholds(sizes, wanted).select("source", "whole", "bound").persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = kept(token_counts(df, tokenizer=tokenizer).where("source is not null"))
+    wanted = kept(quotas(sizes, targets, budget))
+    bounds = kept(thresholds(sizes, wanted).select("source", "whole", "bound"))
     repeats = F.col("whole") + (F.col("h") < F.col("bound")).cast("int")
     chosen = sizes.join(F.broadcast(bounds), "source").select("doc_id", "source", "tokens", repeats.alias("repeats")).where("repeats > 0")
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed"))

@@ -16,13 +16,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import residue
 from .arrow import map_batches
 from .forms import consistent_form
+from .shared import kept
 
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -273,7 +273,7 @@ def outlierness(stats: DataFrame, centre: dict[str, dict]) -> DataFrame:
 
 def quality(df: DataFrame, id_col: str = "row_id", text_col: str = "text", **how) -> DataFrame:
     """(row_id, lang, STATS, distance, contributions): one row for each record whose text has a letter or digit."""
-    stats = describe(df, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = kept(describe(df, id_col, text_col))
     out = outlierness(stats, prose_model(stats, **how))
     return stats.join(out.drop("lang"), "row").withColumnRenamed("row", "row_id")
 
@@ -281,7 +281,7 @@ def quality(df: DataFrame, id_col: str = "row_id", text_col: str = "text", **how
 def found(df: DataFrame, id_col: str = "row_id", text_col: str = "text", limit: float = 30.0, **how) -> DataFrame:
     """p3_found: (row_id) of the records with a text whose squared distance is above ``limit``, or which have no
     letter or digit at all (but some sign); the cases of problem 1 are left out. Null and blank texts are none."""
-    stats = describe(df, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = kept(describe(df, id_col, text_col))
     far = outlierness(stats, prose_model(stats, **how)).where(F.col("distance") > limit).select("row")
     signs = df.where(F.col(text_col).rlike(r"\S") & ~F.col(text_col).rlike(r"[\p{L}\p{N}]")).select(F.col(id_col).cast("bigint").alias("row"))
     return far.unionByName(signs).join(residue.found(df, id_col=id_col, text_col=text_col).withColumnRenamed("row_id", "row"), "row", "left_anti").select(F.col("row").alias("row_id"))

@@ -1,10 +1,15 @@
-"""Cutting the lineage through the folder that all executors share."""
+"""Cutting the lineage through the folder that all executors share, and joins by the size of one side."""
 
 from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A list of ids is broadcast up to this length (16 MB of ids), and joined by a shuffle beyond.
+BROADCAST_IDS = 1_000_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -14,3 +19,15 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df persisted in memory, on disk where that is short; recomputed where an executor is lost."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def restricted(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose ``row`` is (left_semi) or isn't (left_anti) among ids (row), which are distinct. The ids
+    are counted first: a short list goes to df where it lies, so that its texts aren't shuffled."""
+    ids = kept(ids)
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "row", how)

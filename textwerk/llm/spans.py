@@ -18,7 +18,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 from .arrow import map_batches
 from .forms import mix
 from .groups import components
+from .shared import kept, restricted
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -122,7 +122,8 @@ def _around(texts: DataFrame, shared: DataFrame, span: int, gram: int) -> DataFr
 
         return fn
 
-    both = texts.join(lists, "row").select("row", "text", "at")
+    lists = kept(lists)
+    both = restricted(texts, lists.select("row")).join(lists, "row").select("row", "text", "at")
     return map_batches(both, make, "h bigint, dig binary, row bigint, place bigint, before bigint, around string")
 
 
@@ -191,10 +192,10 @@ def shared_spans(df: DataFrame, id_col: str = "row_id", text_col: str = "text",
     texts = df.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).alias("text")).where((F.length("text") >= span) & F.col("text").rlike(r"\S"))
     w = Window.partitionBy("h")
     occ = occurrences(texts, span, gram).withColumns({"lo": F.min("row").over(w), "hi": F.max("row").over(w)})
-    members = _around(texts, occ.where("lo < hi").select("h", "row", "place"), span, gram).persist(StorageLevel.MEMORY_AND_DISK)
+    members = kept(_around(texts, occ.where("lo < hi").select("h", "row", "place"), span, gram))
     pieces = members.groupBy("h", "dig").agg(F.min("row").alias("row"), F.max("row").alias("last"), F.first("before").alias("before"), F.first("around").alias("around"))
-    pieces = pieces.repartition(n_parts, "h").withColumn("n", F.count("*").over(w)).persist(StorageLevel.MEMORY_AND_DISK)
-    found = _matches(pieces.where("n > 1").sortWithinPartitions("h"), span, gram, pairwise).persist(StorageLevel.MEMORY_AND_DISK)
+    pieces = kept(pieces.repartition(n_parts, "h").withColumn("n", F.count("*").over(w)))
+    found = kept(_matches(pieces.where("n > 1").sortWithinPartitions("h"), span, gram, pairwise))
     one = found.where("w1 is null").select("h", "dig", "a", "b", "other")
     ww = Window.partitionBy("w1", "w2").orderBy("h", "dig").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     hot = found.where("w1 is not null").join(pieces.select("h", "dig", "row"), ["h", "dig"])
@@ -213,7 +214,7 @@ def coverage(df: DataFrame, id_col: str = "row_id", text_col: str = "text", **ho
     """(row_id, n_chars, shared_chars, share, cluster_id) for each record with a text: how many of its
     characters stand in stretches found elsewhere, and the smallest row_id of those it is connected with by
     such stretches (its own where there is none). Characters are code points."""
-    spans = shared_spans(df, id_col, text_col, **how).persist(StorageLevel.MEMORY_AND_DISK)
+    spans = kept(shared_spans(df, id_col, text_col, **how))
     merged = "aggregate(array_sort(collect_set(struct(begin, end))), struct(0L as n, 0L as upto), (s, x) -> struct(s.n + greatest(0L, x.end - greatest(x.begin, s.upto)) as n, greatest(s.upto, x.end) as upto), s -> s.n)"
     shared = spans.groupBy("row").agg(F.expr(merged).alias("shared_chars"))
     top = components(spans.where("row <> other").select(F.col("row").alias("a"), F.col("other").alias("b")).distinct())
