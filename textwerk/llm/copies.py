@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_batches
 from .forms import same_text_key
-from .shared import BROADCAST_IDS, kept
+from .shared import BROADCAST_IDS, cut, kept
 
 HEAD = 32
 #: Depths of the recursion in bytes. The first two bytes of the head, more of it, then into the digest.
@@ -131,8 +131,8 @@ def count_in_tries(buckets: DataFrame) -> DataFrame:
 
 
 def same_texts(df: DataFrame, id_col: str = "row_id", text_col: str = "text", by: str | None = None, bucket_rows: int = 100_000) -> DataFrame:
-    """(row, key, first, copies) for each row with a letter or digit in its text: the smallest row of its
-    group of same texts, and the number of rows of the group.
+    """(row, first, copies) for each row with a letter or digit in its text: the smallest row of its group of
+    same texts, and the number of rows of the group. The result is cut off from how it was made.
 
     by: a column in which the rows of a group must agree too; null agrees with null. Ids are BIGINT and
     unique. Null, blank and punctuation-only texts are left out. An empty table gives an empty result. A
@@ -146,11 +146,11 @@ def same_texts(df: DataFrame, id_col: str = "row_id", text_col: str = "text", by
     buckets = radix_buckets(keys, bucket_rows).withColumn("part", part)
     counted = kept(count_in_tries(buckets.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part")))
     if counted.where("part >= 0").isEmpty():
-        return counted.select("row", "key", "first", "copies")
+        return cut(counted.select("row", "first", "copies"))
     hot = counted.where("part >= 0")
     sums = hot.where("row = first").dropDuplicates(["key", "grp", "part"]).groupBy("key", "grp").agg(F.min("first").alias("f"), F.sum("copies").alias("c"))
-    fixed = hot.join(sums, ["key", "grp"]).select("row", "key", F.col("f").alias("first"), F.col("c").alias("copies"))
-    return counted.where("part < 0").select("row", "key", "first", "copies").unionByName(fixed)
+    fixed = hot.join(sums, ["key", "grp"]).select("row", F.col("f").alias("first"), F.col("c").alias("copies"))
+    return cut(counted.where("part < 0").select("row", "first", "copies").unionByName(fixed))
 
 
 def copies_found(df: DataFrame, id_col: str = "row_id", text_col: str = "text", label_col: str = "label", **how) -> DataFrame:
