@@ -69,94 +69,119 @@ def _body(text: str) -> str:
     return best if len(best) > 0.35 * len(text) else text
 
 
+_known: dict[str, tuple] = {}
+
+
+def _word_facts(w: str) -> tuple:
+    """(lower, length, begins in a capital, all capitals, languages as bits, no vowels, odd inside, digits, ends as a
+    verb in t, ends in en) of a word; remembered, as texts repeat their words."""
+    l = w.lower()
+    bits = 0
+    for i in _lang_of.get(l, ()):
+        bits |= 1 << i
+    digits = sum(map(str.isdigit, w))
+    vowels = len(l) > 3 and digits < len(w) and len(_vowel.findall(w)) < 0.2 * len(w)
+    odd = len(w) > 1 and ((0 < digits < len(w)) or (w[1:] != l[1:] and not w.isupper()))
+    facts = (l, len(w), w[0].isupper(), len(w) > 1 and w.isupper(), bits, vowels, odd, digits, l in _verbs or (len(l) > 2 and l[-1] == "t"), len(l) > 4 and l[-2:] == "en", l in _verbs)
+    if len(_known) > 300_000:
+        _known.clear()
+    _known[w] = facts
+    return facts
+
+
 def statistics(text: str) -> tuple[int, list[float]]:
     """(language index or -1, the values of STATS) of a text that has a letter or digit."""
     t = _body(_marks.sub(" ", consistent_form(text)))
     words = _word.findall(t) or ["-"]
+    get = _known.get
+    facts = [get(w) or _word_facts(w) for w in words]
     n, chars = len(words), len(t)
-    low = [w.lower() for w in words]
-    size = [len(w) for w in words]
-    mean = sum(size) / n
-    sd = math.sqrt(sum((x - mean) ** 2 for x in size) / n)
-    votes = [0] * len(_langs)
-    for w in low:
-        for i in _lang_of.get(w, ()):
-            votes[i] += 1
-    top = max(votes)
-    lang = votes.index(top) if top >= max(2, 0.06 * n) else -1
-    mine = FUNCTION_SETS[lang if lang >= 0 else 0]
-    # Runs of function words, runs without one, and runs of words in capitals between words in small letters.
-    run = gap = cap = long_run = long_gap = in_runs = in_caps = 0
-    function = [w for w, l in zip(words, low) if l in mine]
-    shout = 2 * sum(w[0].isupper() for w in function) > max(1, len(function)) or sum(w.isupper() for w in words) > 0.6 * n
-    small = not any(w[0].isupper() for w in words)
-    for w, l in zip(words, low):
-        if l in mine:
+    size = [f[1] for f in facts]
+    alnum = sum(size)
+    mean = alnum / n
+    sd = math.sqrt(max(0.0, sum([x * x for x in size]) / n - mean * mean))
+    masks = [f[4] for f in facts]
+    top, lang = 0, 0
+    for i in range(len(_langs)):
+        bit = 1 << i
+        v = sum([1 for m in masks if m & bit])
+        if v > top:
+            top, lang = v, i
+    if top < max(2, 0.06 * n):
+        lang = -1
+    bit = 1 << max(lang, 0)
+    function = sum([1 for m in masks if m & bit])
+    capital = sum([1 for f in facts if f[2]])
+    shout = 2 * sum([1 for f in facts if f[2] and f[4] & bit]) > max(1, function) or sum([1 for f in facts if f[3]]) > 0.6 * n
+    small = not capital
+    # Runs of function words, runs without one, runs of words in capitals, and verbs.
+    run = gap = cap = long_gap = in_runs = in_caps = verbs = 0
+    noun = False
+    counts: dict[str, int] = {}
+    for l, k, up, _, mask, _, _, _, verb_t, verb_en, verb in facts:
+        if mask & bit:
             run += 1
             gap = 0
         else:
             if run >= 6:
                 in_runs += run
             run, gap = 0, gap + 1
-            long_gap = max(long_gap, gap)
-        if not shout and w[0].isupper():
+            if gap > long_gap:
+                long_gap = gap
+            if k > 4:
+                counts[l] = counts.get(l, 0) + 1
+        if up and not shout:
             cap += 1
         else:
             if cap >= 6:
                 in_caps += cap
             cap = 0
-    in_runs += run if run >= 6 else 0
-    in_caps += cap if cap >= 6 else 0
-    counts: dict[str, int] = {}
-    for l in low:
-        if len(l) > 4 and l not in mine:
-            counts[l] = counts.get(l, 0) + 1
-    repeat = sum(c - 1 for c in counts.values()) / max(1, sum(counts.values()))
-    alnum = sum(size)
-    spaces = sum(map(str.isspace, t))
-    digits = sum(map(str.isdigit, t))
-    cells = sum(map(t.count, "|;•="))
-    per_line = [sum(map(x.count, "\t|;")) + x.count("   ") for x in (x.strip(" \t;|\r") for x in t.split("\n")) if x]
-    most = max(set(per_line), key=per_line.count) if len(per_line) > 2 else 0
-    grid = max(0.0, 2 * per_line.count(most) / len(per_line) - 1) if most else 0.0
-    starts = [m.group() for x in _cut.split(t) if (m := _word.search(x)) and len(x) - m.end() > 2] if not shout else []
-    heads = max(0.0, 2 * sum(x[0].isupper() and x.lower() not in mine for x in starts) / len(starts) - 1) if len(starts) > 2 else 0.0
-    verbs = 0
-    before = ""
-    for w, l in zip(words, low):
-        if l in _verbs or (len(l) > 2 and l[-1] == "t" and (shout or w[0] == l[0])):
+        if verb or (verb_t and (shout or not up)):
             verbs += 1
-        elif len(l) > 4 and l[-2:] == "en" and l not in mine and (shout or small or (w[0] == l[0] and before[:1].isupper() and before.lower() not in mine)):
+        elif verb_en and not mask & bit and (shout or small or (noun and not up)):
             verbs += 1
-        before = w
-    no_vowel = sum(1 for w in low if len(w) > 3 and not w.isdigit() and len(_vowel.findall(w)) < 0.2 * len(w)) / n
-    odd = sum(1 for w, l in zip(words, low) if len(w) > 1 and ((any(map(str.isdigit, w)) and any(map(str.isalpha, w))) or (w[1:] != l[1:] and not w.isupper())))
+        noun = up and not mask & bit
+    in_runs += run if run >= 6 else 0
+    in_caps += cap if cap >= 6 else 0
+    content = sum(counts.values())
+    repeat = (content - len(counts)) / max(1, content)
+    spaces = chars - sum(map(len, t.split()))
+    digits = sum([f[7] for f in facts])
+    cells = t.count("|") + t.count(";") + t.count("•") + t.count("=")
+    grid = 0.0
+    if t.count("\n") > 1:
+        per_line = [x.count("\t") + x.count("|") + x.count(";") + x.count("   ") for x in (x.strip(" \t;|\r") for x in t.split("\n")) if x]
+        most = max(set(per_line), key=per_line.count) if len(per_line) > 2 else 0
+        grid = max(0.0, 2 * per_line.count(most) / len(per_line) - 1) if most else 0.0
+    found = _item.findall(t)
+    heads = 0.0
+    if not shout and len(found) + t.count("\n") > 1:
+        starts = [m.group() for x in _cut.split(t) if (m := _word.search(x)) and len(x) - m.end() > 2]
+        if len(starts) > 2:
+            heads = max(0.0, 2 * sum([1 for x in starts if (f := get(x) or _word_facts(x))[2] and not f[4] & bit]) / len(starts) - 1)
     return lang, [
         min(math.log(n), 4.0),
         min(mean, 12.0),
         sd,
-        math.sqrt((chars - alnum - spaces) / max(1, chars)),
+        math.sqrt(max(0, chars - alnum - spaces) / max(1, chars)),
         math.sqrt(digits / max(1, alnum)),
-        sum(l in mine for l in low) / n,
+        function / n,
         in_runs / n,
         in_caps / n,
-        sum(1 for x in size if x == 1) / n,
+        sum([1 for x in size if x == 1]) / n,
         max(0.0, repeat - 0.15),
-        no_vowel,
+        sum([1 for f in facts if f[5]]) / n,
         min(0.4, cells / n),
         grid,
-        min(0.4, len(_item.findall(t)) / n),
+        min(0.4, len(found) / n),
         heads,
         min(0.06, verbs / n),
         math.log(1 + long_gap),
-        odd / n,
+        sum([1 for f in facts if f[6]]) / n,
         spaces / max(1, chars),
     ]
 
 
-FUNCTION_SETS = tuple(frozenset(FUNCTION_WORDS[x]) for x in _langs)
-
-
 def describe(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """(row, lang, and STATS as columns) for each record whose text has a letter or digit. One row each."""
     src = df.select(F.col(id_col).cast("bigint"), F.col(text_col)).where(F.col(text_col).isNotNull())

@@ -30,7 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     t = _table
     return {
         "p1_found": lambda s, d: residue.found(t(s, d, "train")),
-        "p1_kept": lambda s, d: residue.kept(t(s, d, "train")),
+        "p1_kept": lambda s, d: residue.without_residue(t(s, d, "train")),
         "p2_found": lambda s, d: looks.found(t(s, d, "train")),
         "p2_consistent": lambda s, d: looks.consistent(t(s, d, "train")).withColumnRenamed("row", "row_id"),
         "p3_found": lambda s, d: prose.found(t(s, d, "train")),
