@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_batches
 from .forms import IGNORABLES, JOINER, SUSPECT, _table, consistent_form
-from .shared import kept
+from .shared import cut, kept, restricted
 
 # Characters that look like a Latin letter in some fonts and words only.
 MAYBE = {"α": "a", "β": "ß", "ε": "e", "κ": "k", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "η": "n", "и": "u", "к": "k", "п": "n", "т": "m", "г": "r", "в": "b", "м": "m", "н": "h"}
@@ -34,11 +34,7 @@ _token = re.compile(rf"[\w\u0300-\u036f{IGNORABLES}{JOINER}]+")
 _odd = re.compile(f"[{SUSPECT[1:-1]}{''.join(MAYBE)}]")
 _plain_letter = re.compile("[A-Za-zÄÖÜäöüß]")
 _marks = re.compile(r"[\u0300-\u036f]")
-#: As _odd, for Java: what a text must have to be taken apart.
-ODD = f"[{SUSPECT[1:-1]}{''.join(MAYBE)}]"
 SHARD_LETTERS, SHARDS = 3, 256
-#: Ranges without any of those, which most texts keep to: quicker to leave than the class above.
-PLAIN_RANGES = "[^\\x00-\\x7f\\u00a1-\\u00ac\\u00ae-\\u02ff\\u2010-\\u2027\\u2030-\\u205e]"
 
 
 class Trie:
@@ -148,37 +144,48 @@ def spellings(texts: DataFrame, vocab: DataFrame) -> DataFrame:
     return pairs.groupBy("row", "field").agg(F.map_from_entries(F.collect_set("s")).alias("spelling"))
 
 
-def consistent(df: DataFrame, id_col: str = "row_id", fields: tuple[str, ...] = ("text", "source")) -> DataFrame:
-    """(row, odd, and for each field its consistent form): one row for each row of df; odd says whether a
-    field has a suspect character. Null fields stay null, empty texts empty. Ids are BIGINT and unique."""
+def odd_forms(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame:
+    """(row, and for each field i its consistent form ci) of the rows of which a field has an odd character."""
+    kinds = dict(df.dtypes)
     rows = df.select(F.col(id_col).cast("bigint").alias("row"), *(F.col(f).alias(f"f{i}") for i, f in enumerate(fields)))
-    flags = [F.coalesce(F.col(f"f{i}").rlike(PLAIN_RANGES) & F.col(f"f{i}").rlike(ODD), F.lit(False)) for i in range(len(fields))]
-    any_odd = flags[0]
-    for f in flags[1:]:
-        any_odd = any_odd | f
-    rows = rows.withColumn("odd", any_odd)
-    clean = rows.where(~F.col("odd")).select("row", "odd", *(F.col(f"f{i}").alias(f) for i, f in enumerate(fields)))
-    odd = kept(rows.where("odd"))
+    assert all(kinds[f] == "string" for f in fields)
+
+    def pick():
+        def fn(b: pa.RecordBatch) -> dict:
+            cols = [c.to_pylist() for c in b.columns[1:]]
+            at = [k for k, values in enumerate(zip(*cols)) if any(v is not None and _odd.search(v) for v in values)]
+            took = b.take(pa.array(at, type=pa.int64()))
+            return {n: took.column(i) for i, n in enumerate(("row", *(f"f{i}" for i in range(len(fields)))))}
+
+        return fn
+
+    odd = kept(map_batches(rows, pick, "row bigint" + "".join(f", f{i} string" for i in range(len(fields)))))
     stacked = F.explode(F.array(*(F.struct(F.lit(f"f{i}").alias("field"), F.col(f"f{i}").alias("text")) for i in range(len(fields)))))
-    texts = odd.select("row", stacked.alias("x")).select("row", "x.field", "x.text").where(F.col("text").rlike(ODD))
+    texts = odd.select("row", stacked.alias("x")).select("row", "x.field", "x.text").where(F.col("text").isNotNull())
     every = rows.select(F.explode(F.array(*(f"f{i}" for i in range(len(fields))))).alias("text")) if len(fields) > 1 else rows.select(F.col("f0").alias("text"))
     maps = spellings(texts, vocabulary(every))
     wide = maps.groupBy("row").agg(*(F.first(F.when(F.col("field") == f"f{i}", F.col("spelling")), ignorenulls=True).alias(f"m{i}") for i in range(len(fields))))
-    both = odd.join(wide, "row", "left")
+    cols = [c for i in range(len(fields)) for c in (f"f{i}", f"m{i}")]
 
     def make():
         def fn(b: pa.RecordBatch) -> dict:
-            out: dict = {"row": b.column(0), "odd": pa.array([True] * b.num_rows)}
-            for i, f in enumerate(fields):
+            out: dict = {"row": b.column(0)}
+            for i in range(len(fields)):
                 texts, maps = b.column(1 + 2 * i).to_pylist(), b.column(2 + 2 * i).to_pylist()
                 out[f"c{i}"] = [None if t is None else apply(t, dict(m or ())) for t, m in zip(texts, maps)]
             return out
 
         return fn
 
-    cols = [c for i in range(len(fields)) for c in (f"f{i}", f"m{i}")]
-    made = map_batches(both.select("row", *cols), make, "row bigint, odd boolean" + "".join(f", c{i} string" for i in range(len(fields))))
-    return clean.unionByName(made.select("row", "odd", *(F.col(f"c{i}").alias(f) for i, f in enumerate(fields))))
+    return kept(map_batches(odd.join(wide, "row", "left").select("row", *cols), make, "row bigint" + "".join(f", c{i} string" for i in range(len(fields)))))
+
+
+def consistent(df: DataFrame, id_col: str = "row_id", fields: tuple[str, ...] = ("text", "source")) -> DataFrame:
+    """(row, and the fields in their consistent form): one row for each row of df. Null fields stay null, empty
+    texts empty. Ids are BIGINT and unique."""
+    odd = odd_forms(df, id_col, fields)
+    rows = df.select(F.col(id_col).cast("bigint").alias("row"), *fields)
+    return restricted(rows, odd.select("row"), "left_anti").unionByName(odd.select("row", *(F.col(f"c{i}").alias(f) for i, f in enumerate(fields))))
 
 
 def apply(text: str, spelling: dict[str, str]) -> str:
@@ -195,11 +202,15 @@ def found(df: DataFrame) -> DataFrame:
     Two records of which neither has a suspect character differ as stored only if their forms differ, so one
     of each pair is odd: the odd records' forms, few, are what all forms are compared with, by two 64-bit
     hashes; clean records of the same form are equal as stored, and each is a pair with each odd one."""
-    rows = consistent(df).where(F.col("source").isNotNull() & F.col("text").rlike(r"\S"))
-    hashed = kept(rows.select("row", "odd", F.xxhash64("text", "source").alias("h1"), F.xxhash64(F.lit(1), F.reverse("text"), "source").alias("h2")))
-    stored = df.select(F.col("row_id").cast("bigint").alias("row"), F.xxhash64("text", "source").alias("s1"), F.xxhash64(F.lit(1), F.reverse("text"), "source").alias("s2"))
-    odd = kept(hashed.where("odd").join(stored, "row").select(F.col("row").alias("a"), "h1", "h2", "s1", "s2"))
-    other = hashed.where("not odd").select(F.col("row").alias("b"), "h1", "h2", F.col("h1").alias("t1"), F.col("h2").alias("t2"))
-    other = other.unionByName(odd.select(F.col("a").alias("b"), "h1", "h2", F.col("s1").alias("t1"), F.col("s2").alias("t2")))
-    pairs = odd.join(other, ["h1", "h2"]).where((F.col("a") != F.col("b")) & ((F.col("s1") != F.col("t1")) | (F.col("s2") != F.col("t2"))))
+    two = lambda *c: (F.xxhash64(*c), F.xxhash64(F.lit(1), *c))
+    forms = odd_forms(df, "row_id", ("text", "source")).where(F.col("c1").isNotNull() & F.col("c0").rlike(r"\S"))
+    h1, h2 = two("c0", "c1")
+    forms = forms.select("row", h1.alias("h1"), h2.alias("h2"))
+    s1, s2 = two("text", "source")
+    stored = df.where(F.col("source").isNotNull() & F.col("text").rlike(r"\S")).select(F.col("row_id").cast("bigint").alias("row"), s1.alias("s1"), s2.alias("s2"))
+    ids = kept(forms.select("row"))
+    odd = cut(forms.join(restricted(stored, ids), "row"))
+    clean = restricted(stored, ids, "left_anti").select(F.col("row").alias("b"), F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+    other = clean.unionByName(odd.select(F.col("row").alias("b"), "h1", "h2", F.col("s1").alias("t1"), F.col("s2").alias("t2")))
+    pairs = odd.withColumnRenamed("row", "a").join(other, ["h1", "h2"]).where((F.col("a") != F.col("b")) & ((F.col("s1") != F.col("t1")) | (F.col("s2") != F.col("t2"))))
     return pairs.select(F.least("a", "b").alias("row_id_a"), F.greatest("a", "b").alias("row_id_b")).distinct()
