@@ -27,6 +27,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
 
 
+def bound(value: Column, make) -> Column:
+    """make(value) with the value computed once: within a lambda of a higher-order function an expression from
+    outside would be computed again for each element."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def word_count(text: Column) -> Column:
     return F.size(words(text))
 
@@ -38,14 +44,18 @@ def sentences(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of n tokens, joined by a space, repeats too."""
-    k = F.size(tokens) - (n - 1)
-    return F.when(k > 0, F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        k = F.size(w) - (n - 1)
+        each = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(k > 0, each).otherwise(F.array().cast("array<string>"))
+
+    return bound(tokens, runs)
 
 
 def trigram_set(text: Column) -> Column:
     """Different runs of three lower-case words; a shorter text is one run."""
-    w = words(F.lower(text))
-    return F.when(F.size(w) < 3, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(ngrams(w, 3)))
+    return bound(words(F.lower(text)), lambda w: F.when(F.size(w) < 3, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(ngrams(w, 3))))
 
 
 def digit_ratio(text: Column) -> Column:
@@ -67,17 +77,19 @@ def word_prefix(text: Column, n: int = 8) -> Column:
 
 def groups_of(items: Column, k: int) -> Column:
     """Every k consecutive items joined by a space; the last group may be shorter."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(k)), lambda i: F.array_join(F.slice(items, i, k), " "))
+    return bound(items, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(k)), lambda i: F.array_join(F.slice(x, i, k), " ")))
 
 
 def chunks(text: Column, size: int = 256, step: int = 128, least: int = 10) -> Column:
     """Overlapping windows of words; windows of fewer than ``least`` words are left out, and the text itself
     stands where none remains. No window begins after one that reached the end."""
-    w = words(text)
-    last = F.greatest(F.ceil((F.size(w) - size) / F.lit(step)), F.lit(0)).cast("int")
-    all_ = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(w, i * step + 1, size))
-    kept = F.transform(F.filter(all_, lambda c: F.size(c) >= least), lambda c: F.array_join(c, " "))
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(text))
+
+    def windows(w: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(w) - size) / F.lit(step)), F.lit(0)).cast("int")
+        all_ = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(w, i * step + 1, size))
+        return F.transform(F.filter(all_, lambda c: F.size(c) >= least), lambda c: F.array_join(c, " "))
+
+    return bound(bound(words(text), windows), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(F.array(text)))
 
 
 def discard_reason(sentence: Column) -> Column:
