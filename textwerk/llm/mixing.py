@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
-from .shared import kept
+from .shared import cut, kept
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BITS, LEVELS = 10, 6
@@ -75,7 +75,7 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
         walk = "aggregate(hist, struct(rest as rest, cast(null as bigint) as lead), (s, x) -> if(s.lead is null, if(x.n <= s.rest, struct(s.rest - x.n as rest, s.lead as lead), struct(s.rest as rest, x.b as lead)), s))"
         state = state.join(F.broadcast(hist), "source", "left").withColumn("w", F.expr(walk))
         past = F.shiftleft(F.col("lead") + 1, BITS)  # every bucket fits: the bound is behind them all
-        state = state.select("source", "whole", F.coalesce("w.rest", "rest").alias("rest"), F.coalesce("w.lead", past).alias("lead"))
+        state = cut(state.select("source", "whole", F.coalesce("w.rest", "rest").alias("rest"), F.coalesce("w.lead", past).alias("lead")))
     return state.select("source", "whole", F.col("lead").alias("bound"), "rest")
 
 
@@ -85,8 +85,8 @@ def mix(df: DataFrame, targets: DataFrame, budget: float | None = None, tokenize
     target, sources without documents too. Documents without a target, with a null source or without a text
     are in neither. The targets are few, one for a source; the report is as many rows."""
     sizes = kept(token_counts(df, tokenizer=tokenizer).where("source is not null"))
-    wanted = kept(quotas(sizes, targets, budget))
-    bounds = kept(thresholds(sizes, wanted).select("source", "whole", "bound"))
+    wanted = cut(quotas(sizes, targets, budget))
+    bounds = thresholds(sizes, wanted).select("source", "whole", "bound")
     repeats = F.col("whole") + (F.col("h") < F.col("bound")).cast("int")
     chosen = sizes.join(F.broadcast(bounds), "source").select("doc_id", "source", "tokens", repeats.alias("repeats")).where("repeats > 0")
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed"))
