@@ -76,6 +76,23 @@ def test_near(df, rows, empty):
     assert near.found(empty).count() == 0
 
 
+@pytest.mark.parametrize("split", [1000, 40])
+def test_near_in_a_large_group_of_near_copies(spark, split):
+    r = random.Random(3)
+    base = [r.choice(WORDS) + str(i) for i in range(60)]
+    data = []
+    for i in range(240):  # more copies than make the shared wording common
+        w = list(base)
+        for k in r.sample(range(60), r.randint(2, 4)):
+            w[k] = f"neu{r.randrange(10**9)}"
+        data.append((i, " ".join(w), 0, "s", None))
+    want = {(i, j) for i, x, *_ in data for j, y, *_ in data if i < j and similar(x, y, 0.6)}
+    df = spark.createDataFrame(data, SCHEMA)
+    assert got(near.found(df, split=split)) == want and len(want) > 1000
+    links = {r.row_id: r.n_links for r in near.groups(df, split=split).collect()}
+    assert links == {i: sum(i in p for p in want) for i in range(240)}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 51), (51, 52), (52, 50), (60, 60)], "a long, b long")
     c = dict(got(groups.components(e)))

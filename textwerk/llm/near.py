@@ -1,17 +1,9 @@
 """Problem 6: groups of texts that differ by small edits.
 
-Deletion-variant signatures. At a similarity of 0.6 two 64-bit sketches differ in about 15 bits, so no cut
-of *bits* leaves a segment that differs by one and still says anything; the signature is therefore a row of
-minimum hashes (components of 32 bits) and a segment holds three of them. A signature is cut into few
-segments, so that one of them differs in at most one component; each segment is indexed in its variants
-with one component left out (the wildcard); equal variants are joined, and every pair that comes of it is
-verified on its exact runs of words.
-
-A component agrees with the probability of the similarity J, a segment in at least two of three with
-J^3 + 3 J^2 (1 - J): 0.65 at J = 0.6. With seven segments 1 - 0.35^7 = 99.9 % of the pairs at the
-threshold are found, more above it. Runs that stand in more than a share ``common`` of all texts, and more than LEAST_COMMON (phrases
-of a form, set openings) don't enter the signature, only the verification; there are at most (runs per
-text) / common of them, a few hundred thousand, whatever the size of the collection.
+Prefix filter over the exact runs of words (prefix.py), then verification of each candidate pair on all of its
+runs: every pair at the threshold is found, also in large groups of near copies, whose shared wording many
+texts have. Signatures of minimum hashes with deletion variants, which stood here before, had to leave out runs
+of many texts to stay small, and lost the pairs that share mainly those.
 """
 
 from __future__ import annotations
@@ -23,84 +15,19 @@ from pyspark.sql import functions as F
 
 from .arrow import map_batches
 from .copies import same_texts
-from .forms import batch_runs, mix, shingles
+from .forms import shingles
 from .groups import components
+from .prefix import SPLIT, paired, prefixes, run_counts
 from .shared import kept, restricted
 
-SEGMENTS, WIDTH = 7, 3
-#: A run is common in a share of the texts only from this number of texts on.
-LEAST_COMMON = 100
 
-
-def common_runs(texts: DataFrame, n: int, common: float) -> np.ndarray:
-    """Sorted hashes of the runs of n words in more than a share ``common`` of the texts (column ``text``) and more
-    than LEAST_COMMON of them.
-
-    A run with that share has it in at least one of the blocks the texts are read in, so each block reports
-    only its own: at most (words of a text) / common runs of it. The sums of these reports decide. The
-    result, that small too, is what comes to the driver, and goes to the tasks from there.
-    """
-
-    def make():
-        def fn(b: pa.RecordBatch) -> dict:
-            t = b.column(0).to_pylist()
-            doc, h = batch_runs(t, n)
-            least = max(2.0, common * len(t))
-            u, c = np.unique(h, return_counts=True)
-            u, c = u[c >= least], c[c >= least]
-            return {"h": np.append(u, np.uint64(0)).view(np.int64), "c": np.append(c, len(t))}
-
-        return fn
-
-    seen = map_batches(texts.select("text"), make, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).persist()
-    total = seen.where("h = 0").agg(F.sum("c")).first()[0] or 0
-    out = [r.h for r in seen.where((F.col("h") != 0) & (F.col("c") > max(LEAST_COMMON, common * total))).select("h").toLocalIterator()]
-    seen.unpersist()
-    return np.sort(np.array(out, dtype=np.int64).view(np.uint64))
-
-
-def variants(texts: DataFrame, runs: np.ndarray, n: int, seed: int = 7) -> DataFrame:
-    """(key, row): for each text the SEGMENTS x WIDTH one-wildcard variants of its signature. Texts of common
-    runs alone are signed by those."""
-    rng = np.random.default_rng(seed)
-    odd = (rng.integers(1, 2**62, SEGMENTS * WIDTH).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-    left = [(s, w, *(s * WIDTH + i for i in range(WIDTH) if i != w)) for s in range(SEGMENTS) for w in range(WIDTH)]
-    sent = texts.sparkSession.sparkContext.broadcast(runs)
-
-    def make():
-        skip = sent.value
-
-        def fn(b: pa.RecordBatch) -> dict | None:
-            doc, h = batch_runs(b.column(1).to_pylist(), n)
-            if not len(h):
-                return None
-            if len(skip):
-                at = np.minimum(np.searchsorted(skip, h), len(skip) - 1)
-                rare = skip[at] != h
-                some = np.bincount(doc, rare, minlength=b.num_rows) > 0
-                keep = rare | ~some[doc]
-                doc, h = doc[keep], h[keep]
-            start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            with np.errstate(over="ignore"):
-                comps = [np.minimum.reduceat((h * a) >> np.uint64(32), start) for a in odd]
-                keys = [mix(mix(comps[i] + np.uint64(s * 8 + w) * np.uint64(0x9E3779B97F4A7C15)) ^ (comps[j] * np.uint64(0xC2B2AE3D27D4EB4F))) for s, w, i, j in left]
-            rows = b.column(0).to_numpy(zero_copy_only=False)[doc[start]]
-            return {"key": np.concatenate(keys).view(np.int64), "row": np.tile(rows, len(keys))}
-
-        return fn
-
-    return map_batches(texts.select("row", "text"), make, "key bigint, row bigint")
-
-
-def similar_pairs(texts: DataFrame, threshold: float = 0.6, n: int = 3, common: float = 5e-4) -> DataFrame:
+def similar_pairs(texts: DataFrame, threshold: float = 0.6, n: int = 3, split: int = SPLIT) -> DataFrame:
     """(a, b, similarity), a < b: pairs of rows of texts (row BIGINT unique, text STRING) whose texts have at
     least the given similarity of runs of n words. Pass one row for each different text."""
-    keys = variants(texts, common_runs(texts, n, common), n).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    # Variants that one text alone has pair nothing: most go before the join, which finds the rest in place.
-    keys = kept(keys.withColumn("of", F.count("*").over(Window.partitionBy("key"))).where("of > 1").select("key", "row"))
-    x, y = keys.alias("x"), keys.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.row") < F.col("y.row"))).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
-    return verified(kept(pairs), texts, threshold, n)
+    keys = prefixes(texts, run_counts(texts, n), threshold, n).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
+    # Runs that one text alone has pair nothing: most go before the join, which finds the rest in place.
+    keys = kept(keys.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1"))
+    return verified(kept(paired(keys, keys, threshold, True, split)), texts, threshold, n)
 
 
 def run_sets(texts: DataFrame, n: int) -> DataFrame:
@@ -121,6 +48,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, n: int) -> Da
     are made once; pairs whose numbers of runs are too far apart are left out before the runs are sent."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     sets = kept(run_sets(restricted(texts, ids), n))
+    sets.count()  # made here once; stages that run side by side would each make them
     sized = pairs.join(sets.select(F.col("row").alias("a"), F.col("size").alias("na")), "a").join(sets.select(F.col("row").alias("b"), F.col("size").alias("nb")), "b")
     near = sized.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b")
     both = near.join(sets.select(F.col("row").alias("a"), F.col("runs").alias("ra")), "a").join(sets.select(F.col("row").alias("b"), F.col("runs").alias("rb")), "b").select("a", "b", "ra", "rb")
