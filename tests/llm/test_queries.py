@@ -137,6 +137,20 @@ def test_splits(spark, rows, empty):
     assert rep == len(found)
 
 
+def test_splits_many_edited_copies_of_one_passage(spark):
+    r = random.Random(4)
+    base = [r.choice(WORDS) + str(i) for i in range(60)]
+    tr = []
+    for i in range(300):
+        w = list(base)
+        for k in r.sample(range(60), 4):
+            w[k] = f"neu{r.randrange(10**9)}"
+        tr.append((i, " ".join(w), 0, "s", None))
+    ev = [(1000, " ".join(base), 0, "s", None)]
+    want = {(i, 1000, "val") for i, t, *_ in tr if similar(t, ev[0][1], 0.6)}
+    assert got(splits.found(spark.createDataFrame(tr, SCHEMA), {"val": spark.createDataFrame(ev, SCHEMA)})) == want and len(want) > 250
+
+
 def test_items(spark, df, rows, empty):
     some = spark.createDataFrame([(1, rows[0][1][:200]), (2, rows[3][1]), (3, "zu kurz"), (4, None)], "item_id long, text string")
     docs = df.withColumnRenamed("row_id", "doc_id")

@@ -2,73 +2,37 @@
 
 Aho-Corasick automata over sharded normalised evaluation passages scan the training texts. A normalised text
 is its words, one symbol each; the passages of an evaluation record are its words cut into blocks of six.
-At a similarity of 0.6 of three-word runs, edits can reach at most 10.5 % as many places as there are words
-if each stands alone, and 15.4 % if they straddle block ends in pairs; blocks are 16.7 %, so at least one
-block stands unchanged in the training text, and the automaton finds it. Matched intervals are merged into
-the coverage of the evaluation record; every covered pair is then verified on its exact runs.
-
-A training text is scanned by a shard only where it can match: both sides choose anchors, the nine-word runs
-with the smallest hashes, about ANCHORS of them for a text of any length (the threshold on the hash depends
-on the length alone, so texts of similar length choose alike), and an evaluation record draws the training
-texts that share an anchor that few of them have, and in any case those of its RAREST anchors. Anchors that
-no training text has don't count, so set phrases lose to those that tell. Nothing is capped: a record all of
-whose anchors are frequent draws by those. Same texts are collapsed before and expanded after.
+Matched intervals are merged into the coverage of the evaluation record.
+
+A training text is scanned by a shard only where it can match: the candidates are the pairs that pass the
+prefix filter (prefix.py), which loses no pair at the threshold, whatever the length of the texts and however
+many training texts share a run. Same texts are collapsed before and expanded after.
 """
 
 from __future__ import annotations
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
 from .copies import same_texts
-from .forms import batch_runs, distinct, shingles, similarity, words
+from .forms import shingles, similarity, words
+from .prefix import SPLIT, paired, prefixes, run_counts
 from .shared import cut, kept, restricted
 
-ANCHORS, RUN, BLOCK = 16, 9, 6
-#: An anchor of at most FEW training texts always draws them; each record draws by its RAREST anchors anyway.
-FEW, RAREST = 20, 4
-
-
-def anchors(texts: DataFrame) -> DataFrame:
-    """(h, row): the sampled nine-word runs of each text (row, text)."""
-
-    def make():
-        def fn(b: pa.RecordBatch) -> dict | None:
-            doc, h = batch_runs(b.column(1).to_pylist(), RUN)
-            if not len(h):
-                return None
-            n = np.bincount(doc, minlength=b.num_rows)
-            bound = np.minimum(1.0, ANCHORS / np.maximum(n, 1)) * 2.0**64
-            keep = h.astype(np.float64) <= bound[doc]
-            lone = np.flatnonzero((n > 0) & (np.bincount(doc[keep], minlength=b.num_rows) == 0))
-            if len(lone):  # a text without any takes its smallest
-                start = np.searchsorted(doc, lone)
-                low = np.minimum.reduceat(h, np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]))
-                small = low[np.searchsorted(np.unique(doc), lone)]
-                doc, h = np.r_[doc[keep], doc[start]], np.r_[h[keep], small]
-            else:
-                doc, h = doc[keep], h[keep]
-            doc, h = distinct(doc, h)
-            return {"h": h.view(np.int64), "row": b.column(0).to_numpy(zero_copy_only=False)[doc]}
-
-        return fn
-
-    return map_batches(texts.select("row", "text"), make, "h bigint, row bigint")
+BLOCK = 6
 
 
-def candidates(train: DataFrame, evals: DataFrame) -> DataFrame:
-    """(t, e): training and evaluation texts that share one of the evaluation text's rarest anchors."""
-    both = anchors(train).withColumn("side", F.lit(0)).unionByName(anchors(evals).withColumn("side", F.lit(1)))
+def candidates(train: DataFrame, evals: DataFrame, threshold: float, n: int, split: int = SPLIT) -> DataFrame:
+    """(t, e): training and evaluation texts whose prefixes share enough runs of n words."""
+    counts = run_counts(train.select("text").unionByName(evals.select("text")), n)
+    both = prefixes(train, counts, threshold, n).withColumn("side", F.lit(0)).unionByName(prefixes(evals, counts, threshold, n).withColumn("side", F.lit(1)))
     w = Window.partitionBy("h")
-    both = both.withColumns({"n_train": F.sum(1 - F.col("side")).over(w), "n_eval": F.sum("side").over(w)})
-    both = kept(both.where((F.col("n_train") > 0) & (F.col("n_eval") > 0)).select("h", "row", "side", "n_train"))
-    rank = F.row_number().over(Window.partitionBy("row").orderBy("n_train", "h"))
-    picked = both.where("side = 1").withColumn("rank", rank).where((F.col("rank") <= RAREST) | (F.col("n_train") <= FEW)).select("h", F.col("row").alias("e"))
-    return both.where("side = 0").select("h", F.col("row").alias("t")).join(picked, "h").select("t", "e").distinct()
+    both = both.repartition(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h").withColumns({"n_train": F.sum(1 - F.col("side")).over(w), "n_eval": F.sum("side").over(w)})
+    both = kept(both.where((F.col("n_train") > 0) & (F.col("n_eval") > 0)).withColumn("n", F.greatest("n_train", "n_eval")).drop("n_train", "n_eval"))
+    return paired(both.where("side = 0"), both.where("side = 1"), threshold, False, split).select(F.col("a").alias("t"), F.col("b").alias("e"))
 
 
 DIGITS = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -161,7 +125,7 @@ def overlaps(train: DataFrame, evals: DataFrame, id_col: str = "row_id", text_co
     firsts = restricted(both, rest, "left_anti")
     tt, ee = firsts.where("side = 0").select("row", "text"), firsts.where("side = 1").select("row", "text")
     same = sides.where("t is not null and e is not null").select("t", "e", F.lit(1.0).alias("coverage"), F.lit(1.0).alias("similarity"))
-    pairs = cut(candidates(tt, ee).join(same, ["t", "e"], "left_anti"))
+    pairs = cut(candidates(tt, ee, threshold, n).join(same, ["t", "e"], "left_anti"))
     te = restricted(ee, pairs.select(F.col("e").alias("row")).distinct()).select(F.col("row").alias("e"), F.col("text").alias("te"))
     ts = restricted(tt, pairs.select(F.col("t").alias("row")).distinct()).select(F.col("row").alias("t"), F.col("text").alias("tt"))
     full = pairs.join(te, "e").join(ts, "t")
