@@ -151,6 +151,17 @@ def test_splits_many_edited_copies_of_one_passage(spark):
     assert got(splits.found(spark.createDataFrame(tr, SCHEMA), {"val": spark.createDataFrame(ev, SCHEMA)})) == want and len(want) > 250
 
 
+def test_splits_short_texts_without_a_long_run_in_common(spark):
+    tr, ev = [], []
+    for i, (n, changed, dropped) in enumerate([(14, {6}, ()), (17, {8}, ()), (26, (), {8, 17}), (29, (), {5, 6, 17, 18})]):
+        w = [f"wort{i}{chr(97 + k)}" for k in range(n)]
+        ev.append((1000 + i, " ".join(w), 0, "s", None))
+        tr.append((i, " ".join("neu" if k in changed else x for k, x in enumerate(w) if k not in dropped), 0, "s", None))
+    want = {(i, 1000 + i, "val") for i in range(4)}
+    assert all(similar(tr[i][1], ev[i][1], 0.6) for i in range(4))
+    assert got(splits.found(spark.createDataFrame(tr, SCHEMA), {"val": spark.createDataFrame(ev, SCHEMA)})) == want
+
+
 def test_items(spark, df, rows, empty):
     some = spark.createDataFrame([(1, rows[0][1][:200]), (2, rows[3][1]), (3, "zu kurz"), (4, None)], "item_id long, text string")
     docs = df.withColumnRenamed("row_id", "doc_id")

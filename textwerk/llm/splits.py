@@ -2,7 +2,8 @@
 
 Aho-Corasick automata over sharded normalised evaluation passages scan the training texts. A normalised text
 is its words, one symbol each; the passages of an evaluation record are its words cut into blocks of six.
-Matched intervals are merged into the coverage of the evaluation record.
+Matched intervals are merged into the coverage of the evaluation record; every pair is verified on its exact
+runs, also where edits leave no passage whole (coverage 0).
 
 A training text is scanned by a shard only where it can match: the candidates are the pairs that pass the
 prefix filter (prefix.py), which loses no pair at the threshold, whatever the length of the texts and however
@@ -95,16 +96,15 @@ def covered(pairs: DataFrame, threshold: float, n: int) -> DataFrame:
                     for e, a, z in owners:
                         if e in want:
                             spans.setdefault(e, set()).add((a, z))
-                if spans:
-                    mine = shingles(text[t], n)
-                    for e, s in spans.items():
-                        if (sim := similarity(mine, runs_e[e])) >= threshold:
-                            got = upto = 0
-                            for a, z in sorted(s):
-                                got += max(0, z - max(a, upto))
-                                upto = max(upto, z)
-                            for k, v in zip(out, (t, e, got / len(evals[e]), sim)):
-                                out[k].append(v)
+                mine = shingles(text[t], n)
+                for e in want:
+                    if (sim := similarity(mine, runs_e[e])) >= threshold:
+                        got = upto = 0
+                        for a, z in sorted(spans.get(e, ())):
+                            got += max(0, z - max(a, upto))
+                            upto = max(upto, z)
+                        for k, v in zip(out, (t, e, got / len(evals[e]), sim)):
+                            out[k].append(v)
             return out
 
         return fn
