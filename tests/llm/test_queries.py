@@ -116,6 +116,21 @@ def test_spans(df, rows, empty, pairwise):
         assert spans.found(empty).count() == 0
 
 
+def test_spans_that_begin_in_a_repeated_string():
+    """Every window emits its smallest run's place, so that equal windows meet around it."""
+    for period in range(5, 96, 5):
+        r = random.Random(period)
+        some = lambda k: "".join(r.choice("abcdefghijklmnop ") for _ in range(k))
+        for _ in range(10):
+            text = (some(period) * 80)[:400] + some(200)
+            h, at = spans.minhashes([text], 160, 60)[1:]
+            places = set(at.tolist())
+            grams = spans.gram_hashes(spans.np.frombuffer(text.encode("utf-32-le"), dtype="uint32"), 60)
+            for a in range(len(text) - 159):
+                w = grams[a : a + 101].tolist()
+                assert a + 100 - w[::-1].index(min(w)) in places
+
+
 def test_looks(df, rows, empty):
     c = {i: (forms.consistent_form(t), forms.consistent_form(s)) for i, t, _, s, _ in rows if t and t.strip() and s is not None}
     raw = {i: (t, s) for i, t, _, s, _ in rows}

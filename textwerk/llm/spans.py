@@ -62,6 +62,15 @@ def _window_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
+def _last_equal(h: np.ndarray, low: np.ndarray, w: int) -> np.ndarray:
+    """The last place of the smallest of each w neighbours; low: what _window_min() gave."""
+    place = np.empty(len(low), dtype=np.int64)
+    for a in range(0, len(low), 1 << 14):
+        view = np.lib.stride_tricks.sliding_window_view(h[a : a + (1 << 14) + w - 1], w)
+        place[a : a + len(view)] = np.arange(a, a + len(view)) + w - 1 - view[:, ::-1].argmin(axis=1)
+    return place
+
+
 def minhashes(texts: list[str], span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of text, MinHash, place of its run): the different MinHashes of all windows of span characters.
     Shorter texts have none."""
@@ -76,15 +85,13 @@ def minhashes(texts: list[str], span: int, gram: int) -> tuple[np.ndarray, np.nd
     doc = np.repeat(np.arange(len(long)), size[long])
     low = _window_min(h, span - gram + 1)  # of the window from each place
     ok = np.arange(len(low)) + span <= start[doc[: len(low)] + 1]
+    # Where in each window the smallest run stands, the last of equal ones: a place is emitted whenever it changes.
+    w = span - gram + 1
+    place = _last_equal(h, low, w)
     new = ok.copy()
-    new[1:] &= (low[1:] != low[:-1]) | (doc[1 : len(low)] != doc[: len(low) - 1])
+    new[1:] &= (place[1:] != place[:-1]) | (doc[1 : len(low)] != doc[: len(low) - 1]) | ~ok[:-1]
     at = np.flatnonzero(new)
-    place = np.empty(len(at), dtype=np.int64)
-    w = span - gram + 1
-    for a in range(0, len(at), 1 << 14):  # where in its window the smallest run stands
-        rows = at[a : a + (1 << 14)]
-        view = np.lib.stride_tricks.sliding_window_view(h, w)[rows]
-        place[a : a + len(rows)] = rows + view.argmin(axis=1)
+    place = place[at]
     d = doc[at]
     return long[d], low[at], place - start[d]
 
