@@ -200,6 +200,13 @@ def test_residue_and_boilerplate(spark, empty):
     assert residue.without_residue(df).count() == len(data) - 3 and residue.found(empty).count() == 0
 
 
+def test_residue_where_recurrent_lines_are_all_of_a_record(spark):
+    page, note = "404 Not Found\nBitte wenden Sie sich an den Betreiber.", "Bitte aktivieren Sie JavaScript"
+    data = [(i, page, 0, "host", None) for i in range(30)] + [(100 + i, note, 0, "host", None) for i in range(30)]
+    data += [(200 + i, f"Der Rat tagt heute zum Thema {chr(97 + i % 26)}{chr(97 + i // 26)}.\n{note}", 0, "host", None) for i in range(40)]
+    assert {r.row_id for r in residue.found(spark.createDataFrame(data, SCHEMA)).collect()} == {*range(30), *range(100, 130)}
+
+
 def test_prose(spark, empty):
     base = [(i, f"Die Stadt {w} prüft den neuen Plan, weil der Rat nicht mehr warten will und das {w} fehlt.", 0, "s", None) for i, w in enumerate(WORDS * 4)]
     junk = [(1000, "\n".join(f"{w}\t{i}\t–" for i, w in enumerate(WORDS[:12])), 0, "s", None), (1001, "~%|$ ##|^ ?%-%$0_&m1&?#_1b#", 0, "s", None), (1002, "!!!", 0, "s", None), (1003, None, 0, "s", None), (1004, " ", 0, "s", None)]
