@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -37,6 +39,10 @@ def test_trie_counts_and_bursts():
 def test_edit_automaton():
     t = looks.Trie([("Straße", 3), ("über", 9), ("Boden", 1), ("finden", 2)])
     assert [t.lookup(x) for x in ("Straβe", "über", "Вod​en", "ﬁnden", "β", "Baden")] == ["Straße", "über", "Boden", "finden", None, None]
+    # The cheapest spelling wins over a more frequent one; the bound ends what MAYBE letters may cost; many odd letters stay quick.
+    t = looks.Trie([("kaut", 1), ("haut", 99), ("Kelvin", 2), ("a" * 40, 1)])
+    assert t.lookup("каut") == "kaut" and t.lookup("\u212aelvin") == "Kelvin" and t.lookup("а" * 40) == "a" * 40 and t.lookup("xτττττ") is None
+    assert forms.consistent_form("\u212a\u212b ёό") == "K\u00c5 \u00eb\u00f3" and looks._is_odd("\u212b") and not looks._is_odd("Öl")
 
 
 def test_wu_manber_against_brute_force():
@@ -61,8 +67,22 @@ def test_window_minima_and_grams():
 def test_symbols_are_prefix_free():
     seen: dict = {}
     s = [splits.symbol(str(i), seen) for i in range(20000)]
-    assert len(set(s)) == len(s) and "0Aa" not in s and all(x[-1].islower() and x[-2].isupper() and x[:-2].isdigit() for x in s)
-    assert splits.passages(12)[-1][1] == 12 and splits.passages(65)[-1][1] == 65 and splits.passages(1) == [(0, 1)]
+    assert len(set(s)) == len(s) and splits.OTHER not in s and all(len(x) == 4 and all(c in set(a) for c, a in zip(x, splits.LETTERS)) for x in s)
+
+
+def test_scan_gives_exact_similarity_and_coverage():
+    r = random.Random(7)
+    text = lambda k: " ".join(r.choice("abc") for _ in range(k))
+    train, evals = {i: text(r.randint(0, 30)) for i in range(40)}, {100 + i: text(r.randint(0, 30)) for i in range(25)}
+    pairs = [(t, e) for t in train for e in evals if (t + e) % 3]
+    runs = lambda t: {tuple(w[i : i + 3]) for w in [t.split()] for i in range(len(w) - 2)}
+    want = {}
+    for t, e in pairs:
+        x, y = runs(train[t]), runs(evals[e])
+        if x & y and len(x & y) >= 0.2 * len(x | y):
+            w = evals[e].split()
+            want[t, e] = (len({p for i in range(len(w) - 2) if tuple(w[i : i + 3]) in x for p in (i, i + 1, i + 2)}) / len(w), len(x & y) / len(x | y))
+    assert {(t, e): (c, s) for t, e, c, s in splits.scan(pairs, train, evals, 0.2, 3)} == want and len(want) > 20
 
 
 @pytest.mark.parametrize(
@@ -98,12 +118,28 @@ def test_pii(text, want):
 
 
 def test_prose_statistics():
-    lang, s = prose.statistics("Die Stadt prüft den Plan, weil der Rat nicht mehr warten will. Wir sehen das auch so.")
-    v = dict(zip(prose.STATS, s))
-    assert lang == 0 and len(s) == len(prose.STATS) == len(prose.SPREAD) and v["common"] > 0.3 and v["heads"] == 0
-    assert prose.statistics("The council reviews the plan near the bridge and the archive supports it.")[0] == 1
-    assert prose.statistics("xxqz wvkr trpl")[0] == -1
+    lang, plain, s = prose.statistics(["Die Stadt prüft den Plan, weil der Rat nicht mehr warten will. Wir sehen das auch so.", "The council reviews the plan near the bridge and the archive supports it", "xxqz wvkr trpl"], True)
+    v = dict(zip(prose.STATS, s[0]))
+    assert lang.tolist() == [0, 1, -1] and s.shape == (3, len(prose.STATS)) and set(prose.SPREAD) == set(prose.STATS) and v["common"] > 0.3 and v["heads"] == 0
+    p = dict(zip(prose.PLAIN, plain[0]))
+    assert p["words"] == 17 and p["line_end_share"] == 1 and plain[1][3] == 0 and abs(p["mean_word"] - 66 / 17) < 0.5
+    assert abs(prose.chi_square_point(0.95, 20) - 31.41) < 0.05
 
 
 def test_mixing_pattern_is_known():
     assert mixing.BITS * mixing.LEVELS == 60
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("The requested URL was not found on this server.", "error"), ("Error establishing a database connection", "error"), ("500 Server Error", "error"), ("HTTP 418: Fehler", "error"),
+        ("JavaScript muss in Ihrem Browser aktiviert sein.", "script"), ("Please switch on scripts in your browser to continue", "script"), ("Hier Text einfügen", "filler"), ("Dies ist nur ein Blindtext.", "filler"),
+        ("Die gesuchte Seite ist leider nicht mehr verfügbar.", "error"), ("Diese Website ist wegen Wartungsarbeiten nicht erreichbar", "error"), ("Wir %%Beispiel 1%% den Plan", "placeholder"),
+        ("Wer die Seite von Au aufruft, sieht nur noch den Fehler 404, obwohl der Plan längst verschoben wurde.", None), ("Der Kurs zu JavaScript in Au begleitet das Gutachten und kostet 177 Euro.", None),
+        ("Beim Ausfall des Servers in Au war die Strategie 38 Stunden nicht verfügbar.", None), ("Wer Skripte für den Dienst schreibt, braucht in Au rund 38 Platzhalter und die Reform.", None),
+        ("Der Stadt fehlen 500 Dienste und 404 Seiten.", None), ("Die Inflation stieg um 3 % und die Quote um 4 %.", None), ("Er sagte: „Bitte aktivieren Sie JavaScript“.", None), ("Der Zugriff auf das Geld wurde der Stadt verweigert, weil der Rat es so wollte.", None),
+    ],
+)
+def test_evidence(text, kind):
+    assert [k for k, _ in residue.evidence(text, residue.automaton())][:1] == ([kind] if kind else [])

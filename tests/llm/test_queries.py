@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from textwerk.llm.queries import TOKENIZER as TOK
 from textwerk.llm import copies, forms, groups, items, looks, mixing, near, pii, prose, residue, spans, splits
 
 WORDS = [f"{a}{b}" for a in "wald stein fluss berg tal dorf markt brücken".split() for b in "weg hof rat plan amt bau netz ziel".split()]
@@ -62,7 +63,8 @@ def test_copies(df, rows, empty, bucket_rows):
     want = {(a, b) for a, b in want if a != b}
     assert got(copies.copies_found(df, bucket_rows=bucket_rows)) == want
     one = copies.collapsed(df).select("row_id", "n_copies").collect()
-    assert len(one) == len({k for k in key.values() if k[0]}) and sum(r.n_copies for r in one) == sum(k[0] is not None for k in key.values())
+    signs = sum(bool(t and t.strip() and not key[i][0]) for i, t, *_ in rows)  # each stays
+    assert len(one) == len({k for k in key.values() if k[0]}) + signs and sum(r.n_copies for r in one) == sum(k[0] is not None for k in key.values()) + signs
     assert copies.copies_found(empty).count() == 0
 
 
@@ -187,7 +189,7 @@ def test_items(spark, df, rows, empty):
             v = forms.words(u)
             if any(w[j : j + 12] == v[m : m + 12] for m in range(len(v) - 11) for j in range(len(w) - 11)):
                 want.add((i, item))
-    assert got(items.leaked(docs, some)) == want == got(items.leaked(docs, some, block_items=1))
+    assert got(items.leaked(docs, some)) == want == got(items.leaked(docs, some, block_chars=1))
     assert items.leaked(docs, some.where("false")).count() == 0
 
 
@@ -210,21 +212,27 @@ def test_residue_where_recurrent_lines_are_all_of_a_record(spark):
 def test_prose(spark, empty):
     base = [(i, f"Die Stadt {w} prüft den neuen Plan, weil der Rat nicht mehr warten will und das {w} fehlt.", 0, "s", None) for i, w in enumerate(WORDS * 4)]
     junk = [(1000, "\n".join(f"{w}\t{i}\t–" for i, w in enumerate(WORDS[:12])), 0, "s", None), (1001, "~%|$ ##|^ ?%-%$0_&m1&?#_1b#", 0, "s", None), (1002, "!!!", 0, "s", None), (1003, None, 0, "s", None), (1004, " ", 0, "s", None)]
-    assert {r.row_id for r in prose.found(spark.createDataFrame(base + junk, SCHEMA)).collect()} == {1000, 1001, 1002}
+    # As many spelt-out texts as would make a language of their own, a text of fields, and a table in one.
+    spelt = [(2000 + i, " ".join(t[:60]), 0, "s", None) for i, t, *_ in base[:220]]
+    fields = [(3000, " ".join(t for _, t, *_ in base[:60]), 0, "s", None), (3001, f"Ort: Au | Thema: Plan | Datum: 3. Mai 2001 | Text: {base[0][1]}", 0, "s", None), (3002, "Ort: Au\nText: " + " ; ".join(f"{w} {i} – {w[:3]}" for i, w in enumerate(WORDS[:30])), 0, "s", None)]
+    assert {r.row_id for r in prose.found(spark.createDataFrame(base + junk + spelt + fields[1:], SCHEMA)).collect()} == {1000, 1001, 1002, 3002, *(r[0] for r in spelt)}
+    q = {r.row_id: r for r in prose.quality(spark.createDataFrame(base[:9] + fields, SCHEMA)).collect()}
+    assert len(q) == 12 and q[3000].plain_words == sum(len(t.split()) for _, t, *_ in base[:60]) and q[0].plain_line_end_share == 1 and q[3002].plain_line_end_share == 0
+    assert abs(sum(q[0].contributions.values()) - q[0].distance) < 1e-6
     assert prose.found(empty).count() == 0
 
 
 def test_mixing(spark):
     docs = spark.createDataFrame([(i, f"Wort {i} " * (1 + i % 7), f"s{i % 3}" if i % 10 else None) for i in range(300)] + [(999, None, "s0")], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("s0", 0.5, 3), ("s1", 0.3, 1), ("s9", 0.2, 2)], "source string, target_share double, max_repeats int")
-    chosen, report = mixing.mix(docs, targets)
+    chosen, report = mixing.mix(docs, targets, tokenizer=TOK)
     rep = {r.source: r for r in report.collect()}
     assert rep["s9"].mixed_tokens == 0 and abs(rep["s0"].mixed_tokens / rep["s1"].mixed_tokens - 5 / 3) < 0.05
     assert chosen.agg(F.max("repeats")).first()[0] <= 3 and {r.source for r in chosen.select("source").distinct().collect()} == {"s0", "s1"}
-    small = {r.doc_id: r.repeats for r in mixing.mix(docs, targets, budget=300)[0].collect()}
-    large = {r.doc_id: r.repeats for r in mixing.mix(docs, targets, budget=600)[0].collect()}
+    small = {r.doc_id: r.repeats for r in mixing.mix(docs, targets, budget=300, tokenizer=TOK)[0].collect()}
+    large = {r.doc_id: r.repeats for r in mixing.mix(docs, targets, budget=600, tokenizer=TOK)[0].collect()}
     assert all(large.get(d, 0) >= n for d, n in small.items())
-    assert mixing.mix(docs.where("false"), targets)[0].count() == 0
+    assert mixing.mix(docs.where("false"), targets, tokenizer=TOK)[0].count() == 0
 
 
 def test_pii_items_and_masks(spark):

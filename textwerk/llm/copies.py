@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_batches
 from .forms import same_text_key
-from .shared import BROADCAST_IDS, cut, kept
+from .shared import BROADCAST_IDS, cut, kept, released
 
 HEAD = 32
 #: Depths of the recursion in bytes. The first two bytes of the head, more of it, then into the digest.
@@ -51,26 +51,28 @@ def canonical(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFram
 
 def radix_buckets(keys: DataFrame, bucket_rows: int) -> DataFrame:
     """keys with ``bucket`` (the shortest prefix of ``key`` at one of DEPTHS with at most bucket_rows rows,
-    else the longest) and ``hot`` (true: more than bucket_rows rows of one prefix of the longest depth,
-    which are copies of one text). Only the rows of oversized buckets take part in the next split; the
+    else the longest) and ``parts`` (how many parts of about bucket_rows rows the bucket is dealt out in if it has
+    more rows at the longest depth, which are copies of one text; else 0). Only the rows of oversized buckets take part in the next split; the
     oversized prefixes of a depth are fewer than rows / bucket_rows."""
     part, out, depth = keys, keys, F.lit(0)
     for i, d in enumerate(DEPTHS):
         prefix = F.substring("key", 1, d)
-        over = kept(part.groupBy(prefix.alias("prefix")).count().where(F.col("count") > bucket_rows).select("prefix"))
+        over = kept(part.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("rows")).where(F.col("rows") > bucket_rows))
         n = over.count()
         small = F.broadcast(over) if n <= BROADCAST_IDS else over
         if i:
             out = out.withColumn("depth", depth)
         if not n:
-            return out.withColumn("hot", F.lit(False)).withColumn("bucket", F.expr(f"substring(key, 1, if(depth > 0, depth, {d}))") if i else prefix).drop("depth")
-        out = out.join(small.select(F.col("prefix").alias("p"), F.lit(True).alias("is_over")), prefix == F.col("p"), "left")
+            return out.withColumn("parts", F.lit(0).cast("bigint")).withColumn("bucket", F.expr(f"substring(key, 1, if(depth > 0, depth, {d}))") if i else prefix).drop("depth")
+        out = out.join(small.select(F.col("prefix").alias("p"), F.col("rows").alias("is_over")), prefix == F.col("p"), "left")
         if not i:
             out = out.withColumn("depth", F.lit(0))
-        out = out.withColumn("depth", F.when((F.col("depth") == 0) & F.col("is_over").isNull(), d).otherwise(F.col("depth"))).drop("p", "is_over")
+        out = out.withColumn("depth", F.when((F.col("depth") == 0) & F.col("is_over").isNull(), d).otherwise(F.col("depth"))).drop("p", "parts")
+        out = out.withColumnRenamed("is_over", "parts")
         depth = F.col("depth")
         part = part.join(small, prefix == F.col("prefix"), "left_semi")
-    return out.withColumn("hot", F.col("depth") == 0).withColumn("bucket", F.expr(f"substring(key, 1, if(depth > 0, depth, {DEPTHS[-1]}))")).drop("depth")
+    parts = F.when(F.col("depth") == 0, F.ceil(F.col("parts") / bucket_rows)).otherwise(0).cast("bigint")
+    return out.withColumn("parts", parts).withColumn("bucket", F.expr(f"substring(key, 1, if(depth > 0, depth, {DEPTHS[-1]}))")).drop("depth")
 
 
 class Trie:
@@ -142,15 +144,19 @@ def same_texts(df: DataFrame, id_col: str = "row_id", text_col: str = "text", by
     keys = canonical(df, id_col, text_col, *([by] if by else []))
     grp: Column = F.coalesce(F.encode(F.concat(F.lit("="), F.col(by).cast("string")), "utf-8"), F.encode(F.lit(""), "utf-8")) if by else F.encode(F.lit(""), "utf-8")
     keys = kept(keys.select(F.col("row").cast("bigint"), "key", grp.alias("grp")))
-    part = F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(8 * n))).otherwise(F.lit(-1)).cast("bigint")
+    part = F.when(F.col("parts") > 0, F.pmod(F.xxhash64("row"), F.col("parts"))).otherwise(F.lit(-1)).cast("bigint")
     buckets = radix_buckets(keys, bucket_rows).withColumn("part", part)
     counted = kept(count_in_tries(buckets.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part")))
     if counted.where("part >= 0").isEmpty():
-        return cut(counted.select("row", "first", "copies"))
+        out = cut(counted.select("row", "first", "copies"))
+        released(keys, counted)
+        return out
     hot = counted.where("part >= 0")
     sums = hot.where("row = first").dropDuplicates(["key", "grp", "part"]).groupBy("key", "grp").agg(F.min("first").alias("f"), F.sum("copies").alias("c"))
     fixed = hot.join(sums, ["key", "grp"]).select("row", F.col("f").alias("first"), F.col("c").alias("copies"))
-    return cut(counted.where("part < 0").select("row", "first", "copies").unionByName(fixed))
+    out = cut(counted.where("part < 0").select("row", "first", "copies").unionByName(fixed))
+    released(keys, counted)
+    return out
 
 
 def copies_found(df: DataFrame, id_col: str = "row_id", text_col: str = "text", label_col: str = "label", **how) -> DataFrame:
@@ -161,6 +167,8 @@ def copies_found(df: DataFrame, id_col: str = "row_id", text_col: str = "text",
 
 def collapsed(df: DataFrame, id_col: str = "row_id", text_col: str = "text", label_col: str = "label", **how) -> DataFrame:
     """One record for each group of same texts with the same label, the one with the smallest id, as stored,
-    and ``n_copies``, the number of its records. Records without a text are left out."""
-    first = same_texts(df, id_col, text_col, label_col, **how).where("row = first").select(F.col("row").alias("_first"), F.col("copies").alias("n_copies"))
-    return df.join(first, F.col(id_col) == F.col("_first")).drop("_first")
+    and ``n_copies``, the number of its records. A text of signs alone has no letters to be the same in: its record
+    stays, as one of a kind. Records with a null or blank text are left out."""
+    groups = same_texts(df, id_col, text_col, label_col, **how).select(F.col("row").alias("_row"), F.col("first").alias("_first"), F.col("copies").alias("n_copies"))
+    out = df.where(F.col(text_col).rlike(r"\S")).join(groups, F.col(id_col) == F.col("_row"), "left").where("_row is null or _row = _first")
+    return out.withColumn("n_copies", F.coalesce("n_copies", F.lit(1)).cast("bigint")).drop("_row", "_first")

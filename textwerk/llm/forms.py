@@ -24,14 +24,20 @@ LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
     "С": "C", "Т": "T", "У": "Y", "Х": "X", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x",
     "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w",
+    "Ϲ": "C", "Ϳ": "J", "Ү": "Y", "Һ": "H", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "ӏ": "l", "Ѵ": "V", "ѵ": "v",
 }
+# The same with an accent of their own, by rule.
+for _o in (*range(0x0370, 0x0530), *range(0x1F00, 0x2000)):
+    _base, *_accents = unicodedata.normalize("NFD", chr(_o)) or " "
+    if _accents and _base in LOOK_ALIKES:
+        LOOK_ALIKES[chr(_o)] = unicodedata.normalize("NFC", LOOK_ALIKES[_base] + "".join(_accents))
 # Characters without any ink, and spaces that look like the ordinary one.
 IGNORABLES = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufe0e\ufe0f\ufeff"
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 JOINER = "\u200d"  # ignorable, but for its place between two pictographs, which it makes one
 #: Ranges of presentation forms: Latin ligatures, and full-width or half-width forms.
 FORM_RANGES = "ﬀ-ﬆ！-～￠-￦"
-#: A text without any of these characters is its own consistent form. Read alike by Java and Python.
+#: A text without any of these characters that is in composed form (NFC) is its own consistent form.
 SUSPECT = f"[{IGNORABLES}{SPACES}{JOINER}{FORM_RANGES}\u0300-\u036f{''.join(LOOK_ALIKES)}]"
 
 _suspect = re.compile(SUSPECT)
@@ -52,6 +58,11 @@ def consistent_form(text: str) -> str:
     return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
+def is_odd(text: str) -> bool:
+    """Whether a text may differ from its consistent form."""
+    return _suspect.search(text) is not None or not unicodedata.is_normalized("NFC", text)
+
+
 def words(text: str | None) -> list[str]:
     """Longest runs of letters and digits of the consistent form, in lower case."""
     return _runs.findall(consistent_form(text).lower()) if text else []

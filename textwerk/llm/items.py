@@ -54,14 +54,15 @@ class WuManber:
         return found
 
 
-def leaked(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", run: int = 12, block_items: int = 5000) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", run: int = 12, block_chars: int = 32 << 20) -> DataFrame:
     """p8_found: (doc_id, item_id): documents with at least ``run`` consecutive words of the item, whatever
     stands between the words but letters and digits. Null and blank texts, and items of fewer words, match
-    nothing. The items are a stated query set: they go to the tasks in blocks of block_items, each with its
-    own tables, so that a task's memory is bounded however many items there are."""
+    nothing. The items are a stated query set: they go to the tasks in blocks of up to block_chars characters
+    (one item at least), so that what is broadcast, and a task's tables, are bounded however many items there
+    are; the documents are read once for each block, so once for evaluation sets of any usual size."""
     rows = items.select(F.col(item_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).where(F.col("t").rlike(r"\S"))
     docs = documents.select(F.col(doc_col).cast("bigint").alias("d"), F.col(text_col).alias("t")).where(F.col("t").rlike(r"\S"))
-    sc, out, block = documents.sparkSession.sparkContext, None, []
+    sc = documents.sparkSession.sparkContext
 
     def one(block: list) -> DataFrame:
         sent = sc.broadcast(block)
@@ -81,10 +82,12 @@ def leaked(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", item
 
         return map_batches(docs, make, "doc_id bigint, item_id bigint")
 
+    out, block, chars = None, [], 0
     for r in rows.toLocalIterator():
+        if block and chars + len(r.t) > block_chars:
+            out, block, chars = (one(block) if out is None else out.unionByName(one(block))), [], 0
         block.append((r.i, r.t))
-        if len(block) == block_items:
-            out, block = (one(block) if out is None else out.unionByName(one(block))), []
+        chars += len(r.t)
     if block or out is None:
         out = one(block) if out is None else out.unionByName(one(block))
     return out.distinct()

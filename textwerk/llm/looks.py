@@ -1,16 +1,18 @@
 """Problem 2: one consistent form for text that looks the same in different characters.
 
 Vocabulary tries are traversed with a weighted edit automaton. The vocabulary is every token of the corpus
-that is written in plain characters; a token with a suspect character is looked up in it. The automaton's
+that is written in plain characters; a token with an odd character is looked up in it. The automaton's
 edits of zero cost are: a look-alike, full-width form or ligature for its plain spelling, a base letter and
-a combining mark for the composed letter, and an ignorable character for nothing. Every other edit costs more
-than the bound (0), so a state is a node of the trie and a place in the token. Some characters resemble more
-than they equal a Latin letter (``MAYBE``); they count as look-alikes only within a token that has a plain
-Latin letter too, and only a vocabulary hit settles them. Of several hits the most frequent spelling is taken
-(ties: the smallest); tokens without any are brought to the consistent form by table.
-
-The tries are sharded by the first letters of the spelling, tokens go to the shard of theirs, and only
-texts with a suspect character are taken apart; all others are their own consistent form.
+a combining mark for the composed letter, and an ignorable character for nothing. Some characters resemble more
+than they equal a Latin letter (``MAYBE``): one costs 1, only within a token that has a plain Latin letter too,
+and up to ``BOUND`` in all. Every other edit costs more than the bound, so a state is a node of the trie, a
+place in the token and a cost. Of several hits the cheapest is taken, then the most frequent spelling, then the
+smallest; tokens without any are brought to the consistent form by table.
+
+No edit changes a token's skeleton, which has for each letter the one that it may stand for; the tries are
+sharded by the skeleton's hash, into as many shards as the counted vocabulary needs, so that none grows with
+the corpus and none is larger for a frequent beginning. Only texts with an odd character are taken apart; all
+others are their own consistent form.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ import unicodedata
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
 from .forms import IGNORABLES, JOINER, SUSPECT, _table, consistent_form
-from .shared import cut, kept, restricted
+from .shared import cut, kept, released, restricted
 
 # Characters that look like a Latin letter in some fonts and words only.
 MAYBE = {"α": "a", "β": "ß", "ε": "e", "κ": "k", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "η": "n", "и": "u", "к": "k", "п": "n", "т": "m", "г": "r", "в": "b", "м": "m", "н": "h"}
@@ -34,7 +37,12 @@ _token = re.compile(rf"[\w\u0300-\u036f{IGNORABLES}{JOINER}]+")
 _odd = re.compile(f"[{SUSPECT[1:-1]}{''.join(MAYBE)}]")
 _plain_letter = re.compile("[A-Za-zÄÖÜäöüß]")
 _marks = re.compile(r"[\u0300-\u036f]")
-SHARD_LETTERS, SHARDS = 3, 256
+#: The most that MAYBE letters of a token may cost, and how many words a shard's trie holds, about.
+BOUND, SHARD_WORDS = 4, 50_000
+
+
+def _is_odd(text: str) -> bool:
+    return _odd.search(text) is not None or not unicodedata.is_normalized("NFC", text)
 
 
 class Trie:
@@ -49,58 +57,51 @@ class Trie:
             node[""] = n
 
     def lookup(self, token: str) -> str | None:
-        """The most frequent word that the token can be turned into by edits of zero cost."""
+        """The word that the token can be turned into at the least cost, of equal ones the most frequent."""
         mixed = _plain_letter.search(token) is not None
-        states = {("", id(self.root)): self.root}  # spelling so far -> node
+        states = {"": (self.root, 0)}  # spelling so far -> node (None: not in the trie, but a mark may come), cost
         for c in token:
             nxt: dict = {}
-            for (said, _), node in states.items():
-                ways = [c]
-                plain = _table.get(ord(c), c)
-                if plain is None:  # an ignorable: no step in the trie
-                    nxt[said, id(node)] = node
-                    continue
-                ways.append(plain)
-                if mixed and c in MAYBE:
-                    ways.append(MAYBE[c])
-                if c == JOINER:
-                    ways.append("")
-                for w in dict.fromkeys(ways):
-                    here = node
-                    for x in w:
-                        here = here.get(x)
-                        if here is None:
-                            break
-                    if here is not None:
-                        nxt[said + w, id(here)] = here
+            if (plain := _table.get(ord(c), c)) is not None:
+                plain = unicodedata.normalize("NFC", plain)
+            ways = {c: 0} if plain is None or plain == c else {c: 0, plain: 0}
+            if plain is None or c == JOINER:  # an ignorable: no step in the trie
+                ways = {"": 0} if plain is None else {c: 0, "": 0}
+            if mixed and c in MAYBE:
+                ways.setdefault(MAYBE[c], 1)
+            for said, (node, cost) in states.items():
+                steps = [(said + w, here, cost + more) for w, more in ways.items() if (here := self._step(node, w)) is not None or w == plain]
                 if _marks.match(c) and said:  # composes with the letter before
                     whole = unicodedata.normalize("NFC", said + c)
-                    here = self.root
-                    for x in whole:
-                        here = here.get(x)
-                        if here is None:
-                            break
-                    if here is not None:
-                        nxt[whole, id(here)] = here
-            # A letter whose mark is still to come may not be in the trie itself: keep what was said.
-            for (said, _), node in states.items():
-                plain = _table.get(ord(c), c)
-                if plain and not _marks.match(c) and (said + plain, 0) not in nxt:
-                    nxt[said + plain, 0] = {}
+                    steps.append((whole, self._step(self.root, whole), cost))
+                for way in steps:
+                    if way[2] <= BOUND and (way[0] not in nxt or way[2] < nxt[way[0]][1]):
+                        nxt[way[0]] = way[1:]
             states = nxt
-        hits = [(-node[""], said) for (said, _), node in states.items() if "" in node]
-        return min(hits)[1] if hits else None
+        hits = [(cost, -node[""], said) for said, (node, cost) in states.items() if node is not None and "" in node]
+        return min(hits)[2] if hits else None
+
+    @staticmethod
+    def _step(node: dict | None, letters: str) -> dict | None:
+        for x in letters:
+            if node is None:
+                break
+            node = node.get(x)
+        return node
+
 
+def skeleton(token: str) -> str:
+    """The token's form by table, MAYBE letters replaced too: what all spellings that edits lead to have in common."""
+    return unicodedata.normalize("NFC", consistent_form(token).replace(JOINER, "").translate(_maybe_table))
 
-def _shard(token: str) -> int:
-    import zlib
 
-    form = consistent_form(token).translate(_maybe_table)[:SHARD_LETTERS]
-    return zlib.crc32(form.encode("utf-8", "surrogatepass")) % SHARDS
+def _place(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(skeleton(token).encode("utf-8", "surrogatepass")) >> 2
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """(shard, word, n): the plain tokens of column ``text`` and how often they stand there."""
+    """(place, word, n): the plain tokens of column ``text`` and how often they stand there; place: hash of the
+    skeleton."""
 
     def make():
         def fn(b: pa.RecordBatch) -> dict:
@@ -109,41 +110,67 @@ def vocabulary(texts: DataFrame) -> DataFrame:
                 if t:
                     for w in _token.findall(t):
                         seen[w] = seen.get(w, 0) + 1
-            plain = [(w, n) for w, n in seen.items() if not _odd.search(w)]
-            return {"shard": [_shard(w) for w, _ in plain], "word": [w for w, _ in plain], "n": [n for _, n in plain]}
+            plain = [(w, n) for w, n in seen.items() if not _is_odd(w)]
+            return {"place": [_place(w) for w, _ in plain], "word": [w for w, _ in plain], "n": [n for _, n in plain]}
 
         return fn
 
-    return map_batches(texts.select("text"), make, "shard int, word string, n bigint").groupBy("shard", "word").agg(F.sum("n").alias("n"))
+    return map_batches(texts.select("text"), make, "place bigint, word string, n bigint").groupBy("place", "word").agg(F.sum("n").alias("n"))
 
 
-def spellings(texts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(row, field, spelling MAP): for each odd text (row, field, text) its odd tokens found in the vocabulary
-    and their canonical spellings."""
+def odd_tokens(texts: DataFrame) -> DataFrame:
+    """(place, row, field, token): the different odd tokens of each text (row, field, text)."""
 
     def make():
         def fn(b: pa.RecordBatch) -> dict:
-            out: dict = {"shard": [], "row": [], "field": [], "token": []}
+            out: dict = {"place": [], "row": [], "field": [], "token": []}
             for row, field, t in zip(*(c.to_pylist() for c in b.columns)):
-                for w in {w for w in _token.findall(t) if _odd.search(w)}:
-                    for k, v in zip(out, (_shard(w), row, field, w)):
+                for w in {w for w in _token.findall(t) if _is_odd(w)}:
+                    for k, v in zip(out, (_place(w), row, field, w)):
                         out[k].append(v)
             return out
 
         return fn
 
-    tokens = map_batches(texts.select("row", "field", "text"), make, "shard int, row bigint, field string, token string")
+    return map_batches(texts.select("row", "field", "text"), make, "place bigint, row bigint, field string, token string")
+
 
-    def look(words: pd.DataFrame, odd: pd.DataFrame) -> pd.DataFrame:
-        trie = Trie(list(zip(words["word"], words["n"])))
-        hits = {t: trie.lookup(t) for t in odd["token"].drop_duplicates()}
+def lookups(vocab: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, spelling): the tokens (place, token) that are found in the tries of vocab. A task builds the trie of
+    one shard at a time."""
+    words = kept(vocab)
+    shards = max(1, -(-words.count() // SHARD_WORDS))
+    here = lambda df: df.withColumn("shard", F.pmod("place", F.lit(shards)))
+
+    def look(known: pd.DataFrame, odd: pd.DataFrame) -> pd.DataFrame:
+        trie = Trie(list(zip(known["word"], known["n"])))
+        hits = {t: trie.lookup(t) for t in odd["token"]}
         return pd.DataFrame([(t, h) for t, h in hits.items() if h is not None], columns=["token", "spelling"])
 
-    found = vocab.groupBy("shard").cogroup(tokens.select("shard", "token").distinct().groupBy("shard")).applyInPandas(look, "token string, spelling string")
-    pairs = tokens.join(found, "token").select("row", "field", F.struct("token", "spelling").alias("s"))
+    found = here(words).groupBy("shard").cogroup(here(tokens.select("place", "token").distinct()).groupBy("shard")).applyInPandas(look, "token string, spelling string")
+    found = kept(found)
+    found.count()
+    released(words)
+    return found
+
+
+def spellings(texts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(row, field, spelling MAP): for each odd text (row, field, text) its odd tokens found in the vocabulary
+    and their canonical spellings."""
+    tokens = kept(odd_tokens(texts))
+    pairs = tokens.join(lookups(vocab, tokens), "token").select("row", "field", F.struct("token", "spelling").alias("s"))
     return pairs.groupBy("row", "field").agg(F.map_from_entries(F.collect_set("s")).alias("spelling"))
 
 
+def decisions(df: DataFrame, id_col: str = "row_id", fields: tuple[str, ...] = ("text", "source")) -> DataFrame:
+    """(field, way, n_tokens, n_places): how many different odd tokens, and how many places of records, are spelt by the
+    tries ("trie") and by the table ("table")."""
+    every = df.select(F.col(id_col).cast("bigint").alias("row"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("x")).select("row", "x.field", "x.text").where("text is not null")
+    tokens = kept(odd_tokens(every))
+    ways = tokens.join(lookups(vocabulary(every), tokens).withColumn("way", F.lit("trie")), "token", "left").withColumn("way", F.coalesce("way", F.lit("table")))
+    return ways.groupBy("field", "way").agg(F.countDistinct("token").alias("n_tokens"), F.count("*").alias("n_places"))
+
+
 def odd_forms(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame:
     """(row, and for each field i its consistent form ci) of the rows of which a field has an odd character."""
     kinds = dict(df.dtypes)
@@ -153,7 +180,7 @@ def odd_forms(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame:
     def pick():
         def fn(b: pa.RecordBatch) -> dict:
             cols = [c.to_pylist() for c in b.columns[1:]]
-            at = [k for k, values in enumerate(zip(*cols)) if any(v is not None and _odd.search(v) for v in values)]
+            at = [k for k, values in enumerate(zip(*cols)) if any(v is not None and _is_odd(v) for v in values)]
             took = b.take(pa.array(at, type=pa.int64()))
             return {n: took.column(i) for i, n in enumerate(("row", *(f"f{i}" for i in range(len(fields)))))}
 

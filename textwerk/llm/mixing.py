@@ -13,28 +13,33 @@ larger one is given; with a larger one, sources whose max_repeats bind stay belo
 from __future__ import annotations
 
 import base64
+import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
-from .shared import cut, kept
+from .shared import cut, kept, small
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BITS, LEVELS = 10, 6
 #: Splits a text into pieces before merges, as public byte-level tokenizers do.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str = TOKENIZER) -> DataFrame:
+def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, tokenizer: str) -> DataFrame:
     """(doc_id, source, tokens, h): the size of each text in tokens and the 60-bit hash it is chosen by. Null and
-    blank texts have no row. tokenizer: path of a public vocabulary of byte-level ranks, on every machine."""
+    blank texts have no row. tokenizer: path of a public vocabulary of byte-level ranks; the driver reads it (a
+    few MB at most, which is checked) and sends it to the tasks."""
+    if os.path.getsize(tokenizer) > 32 << 20:
+        raise ValueError(f"{tokenizer} is no vocabulary of byte-level ranks")
+    with open(tokenizer, "rb") as f:
+        sent = df.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokenizer, "rb"))}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
         code = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def fn(b: pa.RecordBatch) -> dict:
@@ -68,18 +73,18 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     state = wanted.where("total > 0").select("source", F.floor(F.col("quota") / F.col("total")).cast("int").alias("whole"), (F.col("quota") % F.col("total")).alias("rest"), F.lit(0).cast("bigint").alias("lead"))
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
-        inside = sizes.join(F.broadcast(state.select("source", "lead")), "source").where(F.shiftright("h", shift + BITS) == F.col("lead"))
+        inside = sizes.join(small(state.select("source", "lead")), "source").where(F.shiftright("h", shift + BITS) == F.col("lead"))
         sums = inside.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("tokens").alias("n"))
         # At most 2^BITS rows for a source: buckets in order, as nested sums.
         hist = sums.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("hist"))
         walk = "aggregate(hist, struct(rest as rest, cast(null as bigint) as lead), (s, x) -> if(s.lead is null, if(x.n <= s.rest, struct(s.rest - x.n as rest, s.lead as lead), struct(s.rest as rest, x.b as lead)), s))"
-        state = state.join(F.broadcast(hist), "source", "left").withColumn("w", F.expr(walk))
+        state = state.join(hist, "source", "left").withColumn("w", F.expr(walk))
         past = F.shiftleft(F.col("lead") + 1, BITS)  # every bucket fits: the bound is behind them all
         state = cut(state.select("source", "whole", F.coalesce("w.rest", "rest").alias("rest"), F.coalesce("w.lead", past).alias("lead")))
     return state.select("source", "whole", F.col("lead").alias("bound"), "rest")
 
 
-def mix(df: DataFrame, targets: DataFrame, budget: float | None = None, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def mix(df: DataFrame, targets: DataFrame, budget: float | None = None, *, tokenizer: str) -> tuple[DataFrame, DataFrame]:
     """(chosen, report). chosen: (doc_id, source, tokens, repeats) of the documents that are in the mixture at
     all. report: (source, target_share, max_repeats, source_tokens, mixed_tokens, actual_share), one row for each
     target, sources without documents too. Documents without a target, with a null source or without a text
@@ -88,7 +93,7 @@ def mix(df: DataFrame, targets: DataFrame, budget: float | None = None, tokenize
     wanted = cut(quotas(sizes, targets, budget))
     bounds = thresholds(sizes, wanted).select("source", "whole", "bound")
     repeats = F.col("whole") + (F.col("h") < F.col("bound")).cast("int")
-    chosen = sizes.join(F.broadcast(bounds), "source").select("doc_id", "source", "tokens", repeats.alias("repeats")).where("repeats > 0")
+    chosen = sizes.join(small(bounds), "source").select("doc_id", "source", "tokens", repeats.alias("repeats")).where("repeats > 0")
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed"))
     total = got.agg(F.sum("mixed").alias("all"))
     report = wanted.join(got, "source", "left").fillna(0, ["mixed"]).crossJoin(F.broadcast(total))

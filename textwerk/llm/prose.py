@@ -46,7 +46,7 @@ _field = re.compile(r"(?:^|[\n;|])[\s;|]*[^\W\d_][\w-]{1,30}[ \t]*:\s+")
 _marks = re.compile(r"\|LBR\||\[+[A-ZÄÖÜ_]{2,}\]+|https?://\S+|[@#]\w+")
 _months = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 _item = re.compile(rf"(?:^|[\s|])(?:[•*–·o-]|\(?\d{{1,3}}\)|\d{{1,3}}\.(?!\s(?:{_months}))|[a-z]\))(?=\s)", re.I)
-_item_mark = re.compile(r"[•*–·)\d-]|\bo\b", re.I)
+_number_dot = re.compile(r"\d\.\s")
 _cut = re.compile(rf"{_item.pattern}|\n", re.I)
 _line_end = re.compile(r"[.!?…:;][)\]\"'“”»«]*$")
 # Frequent German verb forms that don't end in t.
@@ -114,6 +114,13 @@ class _Words:
             self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], dtype=np.int32)])
         return np.array(out, dtype=np.int64)
 
+    def fact(self, w: str) -> tuple:
+        at = self.at.get(w)
+        if at is None:
+            at = self.at[w] = len(self.rows)
+            self.rows.append(self._facts(w))
+        return self.rows[at]
+
     def _facts(self, w: str) -> tuple:
         low = w.lower()
         bits = 0
@@ -143,7 +150,7 @@ def statistics(texts: list[str], plain: bool = False) -> tuple[np.ndarray, np.nd
     """(language index or -1, PLAIN if asked for, STATS), a row for each text. Each text has a letter or digit."""
     k = len(texts)
     forms = [consistent_form(t) for t in texts]
-    bodies = [_body(_marks.sub(" ", t)) for t in forms]
+    bodies = [_body(_marks.sub(" ", t) if "|" in t or "[" in t or "@" in t or "#" in t or "http" in t else t) for t in forms]
     found = [_word.findall(t) or ["-"] for t in bodies]
     n = np.array([len(w) for w in found])
     doc = np.repeat(np.arange(k), n)
@@ -177,7 +184,7 @@ def statistics(texts: list[str], plain: bool = False) -> tuple[np.ndarray, np.nd
     n_content = count(content)
     repeat = (n_content - np.bincount(different >> 32, minlength=k)) / np.maximum(1, n_content)
     chars = np.array([max(1, len(t)) for t in bodies], dtype=np.float64)
-    spaces = np.array([len(t) - sum(map(len, t.split())) for t in bodies])
+    spaces = np.array([len(t) - len("".join(t.split())) for t in bodies])
     cells = np.array([t.count("|") + t.count(";") + t.count("•") + t.count("=") for t in bodies])
     shapes = np.array([_shape(t, s) for t, s in zip(bodies, shout)])  # grid, items, heads, line ends
     share = lambda mask: count(mask) / n
@@ -203,6 +210,11 @@ def _plain(forms: list[str], lang: np.ndarray) -> np.ndarray:
     return out
 
 
+def _may_have_items(t: str) -> bool:
+    """Whether a list mark can stand in a text; quicker than to look for one."""
+    return any([c in t for c in ")•*–·-"]) or " o" in t or "\no" in t or " O" in t or "\nO" in t or _number_dot.search(t) is not None or t[:1] in "oO" or "|o" in t
+
+
 def _shape(t: str, shout: bool) -> tuple[float, float, float, float]:
     """(how alike the lines are in their numbers of cells, list marks, how many pieces begin with a noun, share of
     lines that end in punctuation) of a text."""
@@ -217,12 +229,12 @@ def _shape(t: str, shout: bool) -> tuple[float, float, float, float]:
             grid = max(0.0, 2 * per_line.count(most) / len(per_line) - 1) if most else 0.0
     else:
         ends = 1.0 if _line_end.search(t.rstrip()) else 0.0
-    items = len(_item.findall(t)) if _item_mark.search(t) else 0
+    items = len(_item.findall(t)) if _may_have_items(t) else 0
     if not shout and items + breaks > 1:
         starts = [m.group() for x in _cut.split(t) if (m := _word.search(x)) and len(x) - m.end() > 2]
         if len(starts) > 2:
-            ids = _known.table[_known.ids(starts)]
-            heads = max(0.0, 2 * float(((ids[:, 1] == 1) & (ids[:, 3] == 0)).sum()) / len(starts) - 1)
+            first = [_known.fact(x) for x in starts]
+            heads = max(0.0, 2 * sum([1 for f in first if f[1] and not f[3]]) / len(starts) - 1)
     return grid, items, heads, ends
 
 

@@ -13,11 +13,16 @@ BROADCAST_IDS = 1_000_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir; only where that is unset, as in tests, to a folder
-    of this machine."""
+    """df, written to the folder in spark.checkpoint.dir. Where that is unset, a session on this machine alone, as
+    in tests, gets a temporary folder; on a cluster, whose executors would not see it, that is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            path = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(path)
     return df.checkpoint()
 
 
@@ -26,6 +31,17 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def released(*dfs: DataFrame) -> None:
+    """Frees what kept() holds, once all that was made from it is cut off or kept itself."""
+    for df in dfs:
+        df.unpersist()
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, to be broadcast where it is counted to have at most so many (short) rows, as it is otherwise."""
+    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+
+
 def restricted(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of df whose ``row`` is (left_semi) or isn't (left_anti) among ids (row), which are distinct. The ids
     are counted first: a short list goes to df where it lies, so that its texts aren't shuffled."""

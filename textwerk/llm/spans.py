@@ -8,9 +8,10 @@ their smallest run, so a text of L characters has about 2 L / (span - gram + 1)
 position), which are what is joined. A collision is verified on the characters: the two texts agree around
 the run over at least ``span`` characters.
 
-Texts that are equal as stored are collapsed before. Where more than ``pairwise`` texts share a run, pairs
-would grow as the square; there the paragraphs around the run are themselves compared by hash, every one of
-them, which is linear in the texts and as exact.
+Surroundings of a run that are equal as stored are collapsed before. Where more than ``pairwise`` different ones share a
+run, pairs would grow as the square; there the paragraphs around the run are themselves compared by 128-bit hash,
+every one of them, which is linear in the texts and finds the same characters; only the record named as the
+other one is the smallest there.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
@@ -197,16 +197,20 @@ def shared_spans(df: DataFrame, id_col: str = "row_id", text_col: str = "text",
     the smallest stands for all. Null, blank and shorter texts have none."""
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).alias("text")).where((F.length("text") >= span) & F.col("text").rlike(r"\S"))
-    w = Window.partitionBy("h")
-    occ = occurrences(texts, span, gram).withColumns({"lo": F.min("row").over(w), "hi": F.max("row").over(w)})
-    members = kept(_around(texts, occ.where("lo < hi").select("h", "row", "place"), span, gram))
-    pieces = members.groupBy("h", "dig").agg(F.min("row").alias("row"), F.max("row").alias("last"), F.first("before").alias("before"), F.first("around").alias("around"))
-    pieces = kept(pieces.repartition(n_parts, "h").withColumn("n", F.count("*").over(w)))
-    found = kept(_matches(pieces.where("n > 1").sortWithinPartitions("h"), span, gram, pairwise))
-    one = found.where("w1 is null").select("h", "dig", "a", "b", "other")
-    ww = Window.partitionBy("w1", "w2").orderBy("h", "dig").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    hot = found.where("w1 is not null").join(pieces.select("h", "dig", "row"), ["h", "dig"])
-    hot = hot.withColumns({"lo": F.min("row").over(ww), "hi": F.max("row").over(ww)}).where("lo < hi").select("h", "dig", "a", "b", F.col("lo").alias("other"))
+    occ = kept(occurrences(texts, span, gram))
+    # Runs of two texts at least: counted with partial sums, and joined back, where a run of many texts is split by
+    # the adaptive join. No task holds all texts of a run.
+    common = occ.groupBy("h").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("h")
+    members = kept(_around(texts, occ.join(common, "h").select("h", "row", "place"), span, gram))
+    pieces = kept(members.groupBy("h", "dig").agg(F.min("row").alias("row"), F.max("row").alias("last"), F.first("before").alias("before"), F.first("around").alias("around")))
+    counts = kept(pieces.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    n = F.col("n")
+    few = pieces.join(counts.where(n <= pairwise), "h").repartition(n_parts, "h").sortWithinPartitions("h")
+    many = pieces.join(counts.where(n > pairwise), "h")  # piece by piece: in any task
+    one = _matches(few, span, gram, pairwise).select("h", "dig", "a", "b", "other")
+    wide = kept(_matches(many, span, gram, pairwise))
+    ends = wide.join(pieces.select("h", "dig", "row"), ["h", "dig"]).groupBy("w1", "w2").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
+    hot = wide.join(ends, ["w1", "w2"]).select("h", "dig", "a", "b", F.col("lo").alias("other"))
     same = pieces.where("row < last").select("h", "dig", (-F.col("before")).alias("a"), (F.length("around") - F.col("before")).alias("b"), F.col("row").alias("other"))
     rel = one.unionByName(hot).unionByName(same)
     return members.select("h", "dig", "row", "place").join(rel, ["h", "dig"]).select("row", "other", (F.col("place") + F.col("a")).alias("begin"), (F.col("place") + F.col("b")).alias("end"))

@@ -1,13 +1,15 @@
 """Problem 4: same or near-same records across splits.
 
 Aho-Corasick automata over sharded normalised evaluation passages scan the training texts. A normalised text
-is its words, one symbol each; the passages of an evaluation record are its words cut into blocks of six.
-Matched intervals are merged into the coverage of the evaluation record; every pair is verified on its exact
-runs, also where edits leave no passage whole (coverage 0).
-
-A training text is scanned by a shard only where it can match: the candidates are the pairs that pass the
-prefix filter (prefix.py), which loses no pair at the threshold, whatever the length of the texts and however
-many training texts share a run. Same texts are collapsed before and expanded after.
+is its words; the passages of an evaluation record are all its runs of three words, the unit that similarity
+counts. A match is a passage that the training text has too: the different passages matched give the pair's
+similarity, and the merged intervals that they cover give the coverage of the evaluation record. What the
+automaton matches is exact, so nothing else decides a pair.
+
+A shard holds some evaluation texts and scans the training texts that can match one of them: those that the
+prefix filter (prefix.py) sends there, which loses no pair at the threshold, whatever the length of the texts
+and however many training texts share a passage. An evaluation text with many candidates is in several
+shards. Same texts are collapsed before and expanded after.
 """
 
 from __future__ import annotations
@@ -19,93 +21,92 @@ from pyspark.sql import functions as F
 
 from .arrow import map_batches
 from .copies import same_texts
-from .forms import shingles, similarity, words
+from .forms import words
 from .prefix import SPLIT, paired, prefixes, run_counts
 from .shared import cut, kept, restricted
 
-BLOCK = 6
-
-
 def candidates(train: DataFrame, evals: DataFrame, threshold: float, n: int, split: int = SPLIT) -> DataFrame:
     """(t, e): training and evaluation texts whose prefixes share enough runs of n words."""
     counts = run_counts(train.select("text").unionByName(evals.select("text")), n)
     both = prefixes(train, counts, threshold, n).withColumn("side", F.lit(0)).unionByName(prefixes(evals, counts, threshold, n).withColumn("side", F.lit(1)))
-    w = Window.partitionBy("h")
+    w = Window.partitionBy("h")  # spilled where a run is of many texts; counts alone, of rows of 24 bytes
     both = both.repartition(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h").withColumns({"n_train": F.sum(1 - F.col("side")).over(w), "n_eval": F.sum("side").over(w)})
     both = kept(both.where((F.col("n_train") > 0) & (F.col("n_eval") > 0)).withColumn("n", F.greatest("n_train", "n_eval")).drop("n_train", "n_eval"))
     return paired(both.where("side = 0"), both.where("side = 1"), threshold, False, split).select(F.col("a").alias("t"), F.col("b").alias("e"))
 
 
-DIGITS = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: A word is four letters, each of an alphabet of its own, so that no match begins or ends within a word and no node of
+#: an automaton has many children. The first word, which no evaluation text has, is all words outside of them.
+LETTERS = tuple([chr(0x4E00 + 64 * i + k) for k in range(64)] for i in range(4))
+OTHER = "".join(a[0] for a in LETTERS)
+#: How many pairs of one evaluation text a shard takes at most, about.
+SHARD_PAIRS = 2000
 
 
 def symbol(word: str, symbols: dict[str, str]) -> str:
-    """A word as three or more letters of three small alphabets in turn, so that no node of an automaton has
-    many children and no match begins within a word. 0Aa is no word's."""
+    """The letters of a word, given to it when it is first met."""
     s = symbols.get(word)
     if s is None:
         k = len(symbols) + 1
-        s = DIGITS[2][k % 26]
-        k //= 26
-        s = DIGITS[1][k % 26] + s
-        k //= 26
-        head = ""
-        while k or not head:
-            head = DIGITS[0][k % 10] + head
-            k //= 10
-        s = symbols[word] = head + s
+        s = symbols[word] = LETTERS[0][k >> 18] + LETTERS[1][k >> 12 & 63] + LETTERS[2][k >> 6 & 63] + LETTERS[3][k & 63]
     return s
 
 
-def passages(n: int) -> list[tuple[int, int]]:
-    """Where the blocks of six of n words begin and end; a text of fewer than four blocks is cut into four."""
-    size = BLOCK if n >= 4 * BLOCK else max(1, n // 4)
-    return [(a, n if n - a < 2 * size else a + size) for a in range(0, n - size + 1, size)]
+def scan(pairs: list[tuple[int, int]], train: dict[int, str], evals: dict[int, str], threshold: float, n: int) -> list[tuple]:
+    """(t, e, coverage, similarity) of the pairs (t, e) that are similar enough: one automaton of all passages of
+    the evaluation texts, which each training text is led through once. Texts of fewer than n words have no
+    passage: they are similar to the same text only."""
+    symbols: dict[str, str] = {}
+    auto = ahocorasick.Automaton()
+    owners: dict[str, dict[int, list[int]]] = {}  # passage -> evaluation text -> where it begins there
+    length, different = {}, {}
+    for e, text in evals.items():
+        ws = [symbol(w, symbols) for w in words(text)]
+        length[e] = len(ws)
+        mine = set()
+        for a in range(len(ws) - n + 1):
+            p = "".join(ws[a : a + n])
+            mine.add(p)
+            owners.setdefault(p, {}).setdefault(e, []).append(a)
+        different[e] = len(mine)
+    if not owners:
+        return []
+    for p in owners:
+        auto.add_word(p, p)
+    auto.make_automaton()
+    asked: dict[int, set] = {}
+    for t, e in pairs:
+        asked.setdefault(t, set()).add(e)
+    out = []
+    for t, want in asked.items():
+        ws = words(train[t])
+        matched = {p for _, p in auto.iter("".join([symbols.get(w, OTHER) for w in ws]))}
+        total = len(set(zip(*(ws[i:] for i in range(n)))))
+        count: dict[int, int] = {}
+        for p in matched:
+            have = owners[p]
+            for e in have if len(have) < len(want) else want:
+                if e in have and e in want:
+                    count[e] = count.get(e, 0) + 1
+        for e, c in count.items():
+            if (sim := c / (total + different[e] - c)) >= threshold:
+                got = upto = 0
+                for a in sorted(a for p in matched if e in owners[p] for a in owners[p][e]):
+                    got += a + n - max(a, upto)
+                    upto = a + n
+                out.append((t, e, got / length[e], sim))
+    return out
 
 
 def covered(pairs: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Of pairs (t, e, te, tt: their texts), sorted by e: (t, e, coverage, similarity) of those that are similar
-    enough. Each batch of pairs builds the automaton of its evaluation texts once and scans each of its
-    training texts once."""
+    """Of pairs (t, e, tt, te: their texts), sorted by e: (t, e, coverage, similarity) of those that are similar
+    enough. Each batch of pairs is a shard."""
 
     def make():
-        def fn(b: pa.RecordBatch) -> dict | None:
+        def fn(b: pa.RecordBatch) -> dict:
             ts, es, tts, tes = (c.to_pylist() for c in b.columns)
-            symbols: dict[str, str] = {}
-            evals = {e: [symbol(w, symbols) for w in words(x)] for e, x in zip(es, tes)}
-            auto = ahocorasick.Automaton()
-            ends: dict[str, list] = {}
-            for e, ws in evals.items():
-                for a, z in passages(len(ws)):
-                    ends.setdefault("".join(ws[a:z]), []).append((e, a, z))
-            for p, owners in ends.items():
-                auto.add_word(p, owners)
-            if not ends:
-                return None
-            auto.make_automaton()
-            asked: dict[int, set] = {}
-            for t, e in zip(ts, es):
-                asked.setdefault(t, set()).add(e)
-            text = dict(zip(ts, tts))
-            runs_e = {e: shingles(x, n) for e, x in dict(zip(es, tes)).items()}
-            out: dict = {"t": [], "e": [], "coverage": [], "similarity": []}
-            for t, want in asked.items():
-                ws = "".join([symbols.get(w, "0Aa") for w in words(text[t])])
-                spans: dict[int, set] = {}
-                for _, owners in auto.iter(ws):
-                    for e, a, z in owners:
-                        if e in want:
-                            spans.setdefault(e, set()).add((a, z))
-                mine = shingles(text[t], n)
-                for e in want:
-                    if (sim := similarity(mine, runs_e[e])) >= threshold:
-                        got = upto = 0
-                        for a, z in sorted(spans.get(e, ())):
-                            got += max(0, z - max(a, upto))
-                            upto = max(upto, z)
-                        for k, v in zip(out, (t, e, got / len(evals[e]), sim)):
-                            out[k].append(v)
-            return out
+            hits = scan(list(zip(ts, es)), dict(zip(ts, tts)), dict(zip(es, tes)), threshold, n)
+            return dict(zip(("t", "e", "coverage", "similarity"), zip(*hits))) if hits else {}
 
         return fn
 
@@ -128,9 +129,11 @@ def overlaps(train: DataFrame, evals: DataFrame, id_col: str = "row_id", text_co
     pairs = cut(candidates(tt, ee, threshold, n).join(same, ["t", "e"], "left_anti"))
     te = restricted(ee, pairs.select(F.col("e").alias("row")).distinct()).select(F.col("row").alias("e"), F.col("text").alias("te"))
     ts = restricted(tt, pairs.select(F.col("t").alias("row")).distinct()).select(F.col("row").alias("t"), F.col("text").alias("tt"))
-    full = pairs.join(te, "e").join(ts, "t")
+    # An evaluation text of many pairs is dealt out, so that no task gets them all.
+    deal = pairs.groupBy("e").agg(F.ceil(F.count("*") / SHARD_PAIRS).alias("shards"))
+    full = pairs.join(te.join(deal, "e"), "e").join(ts, "t").withColumn("shard", F.pmod(F.xxhash64("t"), "shards"))
     parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = covered(full.repartition(parts, "e").sortWithinPartitions("e"), threshold, n)
+    near = covered(full.repartition(parts, "e", "shard").sortWithinPartitions("e"), threshold, n)
     hits = same.unionByName(near)
     a = members.where("side = 0").join(sides.select("first", "t"), "first").select(F.col("row").alias("train_row"), "t")
     b = members.where("side = 1").join(sides.select("first", "e"), "first").select(F.col("row").alias("eval_row"), "e")
