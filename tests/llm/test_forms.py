@@ -24,7 +24,7 @@ def test_same_text_key():
 
 def test_runs_agree_however_made():
     texts = ["x y z w", "", None, "a", "a b", "a b c", "a b a b a b a", "q " * 500]
-    doc, h = forms.distinct(*forms.batch_runs(texts, 3))
+    doc, h = forms.distinct(*forms.batch_runs(forms.pa.array(texts), 3))
     for i, t in enumerate(texts):
         assert np.array_equal(h[doc == i], forms.shingles(t, 3))
 
@@ -143,3 +143,14 @@ def test_mixing_pattern_is_known():
 )
 def test_evidence(text, kind):
     assert [k for k, _ in residue.evidence(text, residue.automaton())][:1] == ([kind] if kind else [])
+
+
+def test_batches_agree_with_single_texts():
+    texts = ["Die Stadt prüft §3, den PLAN_B!", None, "", "  ", "...", "Ort: A\nText: B c", "İstanbul ΣΑΣ ß", "a b", "Vоden ﬁn\u200bd", "Ä_ö 12½ x² ٣", "zu: kurz", "x" * 5000 + " y z"]
+    col = forms.pa.array(texts)
+    assert forms.batch_keys(col) == [forms.same_text_key(t) for t in texts]
+    h, ends = forms.batch_words(col)
+    assert [h[a:b].tolist() for a, b in zip(ends, ends[1:])] == [forms.word_hashes(forms.words(t)).tolist() for t in texts]
+    doc, runs = forms.distinct(*forms.batch_runs(col, 3))
+    assert [sorted(runs[doc == i].tolist()) for i in range(len(texts))] == [forms.shingles(t).tolist() for t in texts]
+    assert forms.batch_words(forms.pa.array([], type="string"))[1].tolist() == [0]

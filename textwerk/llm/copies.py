@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
-from .forms import same_text_key
+from .forms import batch_keys
 from .shared import BROADCAST_IDS, cut, kept, released
 
 HEAD = 32
@@ -34,8 +34,7 @@ def canonical(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFram
     def make():
         def fn(b: pa.RecordBatch) -> dict:
             keys, at = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                k = same_text_key(t)
+            for i, k in enumerate(batch_keys(b.column(1))):
                 if k is not None:
                     k = k.encode("utf-8", "surrogatepass")
                     keys.append(k[:HEAD].ljust(HEAD, b"\0") + xxhash.xxh3_128_digest(k))

@@ -15,6 +15,8 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 # Characters that look like a Latin letter (Greek, Cyrillic), and that letter.
@@ -87,7 +89,6 @@ def same_text_key(text: str | None) -> str | None:
     return "".join(_runs.findall(t)) or None
 
 
-
 _cache: dict[str, int] = {}
 
 
@@ -137,21 +138,46 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def batch_words(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """All words of all texts in one list, and for each text where its words begin and end (n + 1 offsets)."""
-    out: list[str] = []
-    ends = np.zeros(len(texts) + 1, dtype=np.int64)
-    for i, t in enumerate(texts):
-        if t:
-            out += words(t)
-        ends[i + 1] = len(out)
-    return out, ends
+#: Characters that are plain for sure: in composed form, their own consistent form, and of one lower-case letter each. The
+#: words of texts of these alone are made for a whole batch at once, of all others one by one; they are the same.
+_NOT_PLAIN = r"[^\x{00}-\x{9f}\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{24f}\x{2013}\x{2014}\x{2018}-\x{201e}\x{2022}\x{2026}\x{20ac}]"
+
+
+def _lettered(texts: pa.Array, between: str, other) -> pa.Array:
+    """Each text in lower case with ``between`` in place of what is no letter or digit; other(text) where it has
+    characters that are not plain. Null as an empty text."""
+    texts = pc.fill_null(texts, "")
+    odd = pc.match_substring_regex(texts, _NOT_PLAIN)
+    made = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}]+", between)
+    some = pa.array([other(t) for t in texts.filter(odd).to_pylist()], type=texts.type)
+    return pc.replace_with_mask(made, odd, some)
+
+
+def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, and where each text's begin and end (n + 1 offsets)."""
+    spaced = pc.utf8_trim(_lettered(texts, " ", lambda t: " ".join(words(t))), " ")
+    lists = pc.split_pattern(spaced, " ")
+    size = np.where(pc.equal(spaced, "").to_numpy(zero_copy_only=False), 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = pc.list_flatten(lists).dictionary_encode()
+    h = word_hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, dtype=np.uint64)
+    if (size == 0).any():  # an empty text was split into one empty word
+        h = h[np.repeat(size > 0, np.maximum(size, 1))]
+    return h, np.r_[0, np.cumsum(size)]
+
+
+def batch_keys(texts: pa.Array) -> list[str | None]:
+    """same_text_key() of each text."""
+    texts = pc.fill_null(texts, "")
+    fields = pc.match_substring(texts, ":")
+    made = _lettered(pc.replace_with_mask(texts, fields, pa.scalar("", type=texts.type)), "", lambda t: same_text_key(t) or "").to_pylist()
+    for i in np.flatnonzero(fields.to_numpy(zero_copy_only=False)):
+        made[i] = same_text_key(texts[int(i)].as_py())
+    return [k or None for k in made]
 
 
-def batch_runs(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
+def batch_runs(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """For all texts at once: all runs of n words, repeats too, as (index of the text, 64-bit hash), in text order."""
-    ws, ends = batch_words(texts)
-    h = word_hashes(ws)
+    h, ends = batch_words(texts)
     size = np.diff(ends)
     doc = np.repeat(np.arange(len(texts)), size)
     if not len(h):

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from .arrow import map_batches
 from .copies import same_texts
-from .forms import shingles
+from .forms import batch_runs, distinct
 from .groups import components
 from .prefix import SPLIT, paired, prefixes, run_counts
-from .shared import kept, restricted
+from .shared import kept, released, restricted
 
 
 def similar_pairs(texts: DataFrame, threshold: float = 0.6, n: int = 3, split: int = SPLIT) -> DataFrame:
@@ -27,7 +27,11 @@ def similar_pairs(texts: DataFrame, threshold: float = 0.6, n: int = 3, split: i
     keys = prefixes(texts, run_counts(texts, n), threshold, n).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
     # Runs that one text alone has pair nothing: most go before the join, which finds the rest in place.
     keys = kept(keys.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1"))
-    return verified(kept(paired(keys, keys, threshold, True, split)), texts, threshold, n)
+    keys.count()  # made here once; the stages of the join, side by side, would each make it
+    pairs = kept(paired(keys, keys, threshold, True, split))
+    pairs.count()
+    released(keys)
+    return verified(pairs, texts, threshold, n)
 
 
 def run_sets(texts: DataFrame, n: int) -> DataFrame:
@@ -35,8 +39,10 @@ def run_sets(texts: DataFrame, n: int) -> DataFrame:
 
     def make():
         def fn(b: pa.RecordBatch) -> dict:
-            sets = [shingles(t, n) for t in b.column(1).to_pylist()]
-            return {"row": b.column(0), "size": [len(x) for x in sets], "runs": [x.tobytes() for x in sets]}
+            doc, h = distinct(*batch_runs(b.column(1), n))
+            size = np.bincount(doc, minlength=b.num_rows)
+            ends = np.r_[0, np.cumsum(size)]
+            return {"row": b.column(0), "size": size, "runs": [h[a:z].tobytes() for a, z in zip(ends, ends[1:])]}
 
         return fn
 

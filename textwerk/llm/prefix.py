@@ -40,7 +40,7 @@ def run_counts(texts: DataFrame, n: int) -> np.ndarray:
         c = np.zeros(1 << BUCKETS, dtype=np.int64)
         for batch in batches:
             for b in pieces(batch):
-                _, h = batch_runs(b.column(0).to_pylist(), n)
+                _, h = batch_runs(b.column(0), n)
                 c += np.bincount(_bucket(h), minlength=len(c))
         at = np.flatnonzero(c > 1)
         for i in range(0, len(at), 1 << 16):
@@ -62,7 +62,7 @@ def prefixes(texts: DataFrame, counts: np.ndarray, threshold: float, n: int) ->
         order = sent.value
 
         def fn(b: pa.RecordBatch) -> dict | None:
-            doc, h = distinct(*batch_runs(b.column(1).to_pylist(), n))
+            doc, h = distinct(*batch_runs(b.column(1), n))
             if not len(h):
                 return None
             by = np.lexsort((h, order[_bucket(h)], doc))

@@ -32,6 +32,7 @@ def candidates(train: DataFrame, evals: DataFrame, threshold: float, n: int, spl
     w = Window.partitionBy("h")  # spilled where a run is of many texts; counts alone, of rows of 24 bytes
     both = both.repartition(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h").withColumns({"n_train": F.sum(1 - F.col("side")).over(w), "n_eval": F.sum("side").over(w)})
     both = kept(both.where((F.col("n_train") > 0) & (F.col("n_eval") > 0)).withColumn("n", F.greatest("n_train", "n_eval")).drop("n_train", "n_eval"))
+    both.count()  # made here once; the stages of the join, side by side, would each make it
     return paired(both.where("side = 0"), both.where("side = 1"), threshold, False, split).select(F.col("a").alias("t"), F.col("b").alias("e"))
 
 
