@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import LIST_HEADER, LIST_MARK, TRIGGERS, WS, any_match, portable
+from .rules import ABSTRACT, LIST_HEADER, LIST_MARK, MARKERS, TRIGGERS, URLS, WS, any_match, apply_rules, portable
 
 
 def trimmed(text: Column) -> Column:
@@ -119,3 +120,67 @@ def group_of_id(id_: Column) -> Column:
         .when(id_.rlike("^[0-9]+_[^_]+_[0-9]+$"), F.regexp_extract(id_, "^([0-9]+_[^_]+)_[0-9]+$", 1))
         .otherwise(id_)
     )
+
+
+def word_tokens(text: Column, least: int = 1) -> Column:
+    """Longest runs of letters, digits and underscores, as Unicode has them."""
+    return F.regexp_extract_all(text, F.lit(f"([\\p{{L}}\\p{{N}}_]{{{least},}})"), 1)
+
+
+#: Fixed value: the class of letters that a listed token is made of.
+LISTED_TOKEN = "^[A-Za-zÄöüß1-9]{3,}$"
+
+
+def listed_tokens(text: Column) -> Column:
+    """Whole words of at least three characters of the class LISTED_TOKEN, in lower case."""
+    return F.filter(word_tokens(F.lower(text)), lambda w: w.rlike(LISTED_TOKEN))
+
+
+def preprocess(text: Column) -> Column:
+    """What a text goes through before it is scored: markers, no URLs, white space, at most 1024 characters."""
+    return truncate_chars(normalize_ws(apply_rules(text, MARKERS + URLS)))
+
+
+def abstracted(sentence: Column) -> Column:
+    return apply_rules(sentence, ABSTRACT)
+
+
+def humanized(text: str, seed: int) -> str:
+    """A text with a few of the slips of people, by chance of the seed: two neighbouring sentences change places
+    (20 %), filler words are put in (15 %), a word is misspelt (20 %). Texts of fewer than five words change
+    their sentences alone. An ordinary function, to be called from a batch."""
+    import random
+    import re
+
+    r = random.Random(seed)
+    parts = re.split(r"(?<=[.!?])\s+", text)
+    if len(parts) >= 3 and r.random() < 0.20:
+        i = r.randrange(len(parts) - 1)
+        parts[i : i + 2] = parts[i + 1], parts[i]
+    text = " ".join(parts)
+    words = text.split()
+    if len(words) < 5:
+        return text
+    if r.random() < 0.15:
+        for _ in range(r.randint(1, 2)):
+            words.insert(r.randint(1, len(words) - 2), r.choice(FILLERS))
+    long = [i for i, w in enumerate(words) if len(w) > 5 and w.isalpha()]
+    if r.random() < 0.20 and long:
+        i, slip = r.choice(long), r.choice(("swap", "drop", "double"))
+        w = words[i]
+        k = r.randrange(len(w) - (slip == "swap"))
+        words[i] = w[:k] + {"swap": w[k : k + 2][::-1], "drop": "", "double": 2 * w[k]}[slip] + w[k + (2 if slip == "swap" else 1) :]
+    return " ".join(words)
+
+
+# Filler words.
+FILLERS = ("ja", "also", "halt", "mal", "eben", "sozusagen")
+
+
+def humanize(text: Column, id_: Column, seed: int = 42) -> Column:
+    """humanized() of each text; the chance comes from id and seed, so that a repeated task gives the same."""
+    @F.pandas_udf("string")
+    def slips(texts: pd.Series, seeds: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else humanized(t, int(k)) for t, k in zip(texts, seeds)])
+
+    return slips(text, F.xxhash64(F.lit(seed), id_))

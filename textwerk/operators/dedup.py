@@ -66,7 +66,8 @@ def near_jaccard(evals: DataFrame, train: DataFrame, id_col: str, text_col: str,
     sets = lambda df: df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), trigram_set(F.col(text_col)).alias("g"))
     a, b = sets(evals), sets(train)
     grams = a.select(F.lit(0).alias("side"), "id", F.size("g").alias("n"), F.explode("g").alias("t")).unionByName(b.select(F.lit(1).alias("side"), "id", F.size("g").alias("n"), F.explode("g").alias("t")))
-    grams = grams.withColumn("h", F.xxhash64("t")).withColumn("df", F.count("*").over(Window.partitionBy("h")))
+    grams = grams.select("side", "id", "n", F.xxhash64("t").alias("h"))
+    grams = grams.join(grams.groupBy("h").agg(F.count("*").alias("df")), "h")  # counted with partial sums; a frequent run's rows may be split
     rank = F.row_number().over(Window.partitionBy("side", "id").orderBy("df", "h"))
     prefix = grams.withColumn("r", rank).where(F.col("r") <= F.floor((1 - threshold) * F.col("n")) + 1)
     x = prefix.where("side = 0").select("h", F.col("id").alias("eval_id"), F.col("n").alias("na"))
@@ -75,4 +76,4 @@ def near_jaccard(evals: DataFrame, train: DataFrame, id_col: str, text_col: str,
     pairs = x.join(y, "h").where(near).select("eval_id", "train_id").distinct()
     full = pairs.join(a.select(F.col("id").alias("eval_id"), F.col("g").alias("ga")), "eval_id").join(b.select(F.col("id").alias("train_id"), F.col("g").alias("gb")), "train_id")
     both = F.size(F.array_intersect("ga", "gb")).cast("double")
-    return full.withColumn("jaccard", F.round(both / (F.size("ga") + F.size("gb") - both), 6)).where(F.col("jaccard") > threshold).select("eval_id", "train_id", "jaccard")
+    return full.withColumn("j", both / (F.size("ga") + F.size("gb") - both)).where(F.col("j") > threshold).select("eval_id", "train_id", F.round("j", 6).alias("jaccard"))

@@ -50,11 +50,24 @@ def calibrate(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
     return with_f1(at_thresholds(df, [i / 100 for i in range(1, 100)], label, p)).select("threshold", "macro_f1").orderBy(F.desc("macro_f1"), "threshold").limit(1)
 
 
+def running(g: DataFrame, by: str, sums: dict[str, str], falling: bool = False, parts: int = 512) -> DataFrame:
+    """g with running sums (name: column) in the order of the numbers ``by``, which are different. Nothing sorts all
+    rows: ranges between approximate quantiles are summed, what comes before a range is its offset, and only a
+    range's rows are sorted."""
+    cuts = [float(c) for c in dict.fromkeys(g.approxQuantile(by, [i / parts for i in range(1, parts)], 0.0005))] if parts > 1 else []
+    d = g.withColumn("_part", F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<double>"), lambda c: c < F.col(by))))
+    order = F.desc if falling else F.asc
+    before = Window.orderBy(order("_part")).rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows
+    offsets = d.groupBy("_part").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items())).select("_part", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums))
+    inside = Window.partitionBy("_part").orderBy(order(by)).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({f"_in_{n}": F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(offsets), "_part")
+    return d.select(*g.columns, *((F.col(f"_{n}") + F.col(f"_in_{n}")).alias(n) for n in sums))
+
+
 def score_counts(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
-    """(p, pos, neg, cum_pos, cum_neg): by falling score. What is sorted in one place are different scores."""
+    """(p, pos, neg, cum_pos, cum_neg): by falling score."""
     g = df.groupBy(F.col(p).alias("p")).agg(F.sum(F.col(label)).cast("bigint").alias("pos"), F.sum(1 - F.col(label)).cast("bigint").alias("neg"))
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumns({"cum_pos": F.sum("pos").over(w), "cum_neg": F.sum("neg").over(w)})
+    return running(g, "p", {"cum_pos": "pos", "cum_neg": "neg"}, falling=True)
 
 
 def roc_auc(df: DataFrame, label: str = "label", p: str = "p", empty_value: float = 0.5) -> DataFrame:

@@ -1,6 +1,6 @@
-from . import metric_queries, set_queries, text_queries
+from . import metric_queries, pipeline_queries, set_queries, text_queries
 
-REGISTRIES = (text_queries.q, set_queries.q, metric_queries.q)
+REGISTRIES = (text_queries.q, set_queries.q, metric_queries.q, pipeline_queries.q)
 
 
 def queries():

@@ -69,15 +69,11 @@ q.add("collapse_check", lambda s, d: scores(s, d).groupBy("split").agg(F.countDi
 # Decisions.
 q.add("verdict_bands", lambda s, d: table(s, d, "raw_predictions").select("prediction_id", scoring.verdict_bands(F.col("ai_probability"), 0.18).alias("verdict")), "select prediction_id, case when ai_probability >= 0.18 then case when ai_probability >= 0.90 then 'KI-generiert (sehr hohe Konfidenz)' when ai_probability >= 0.75 then 'KI-generiert (hohe Konfidenz)' else 'KI-generiert (mittlere Konfidenz)' end when ai_probability < 0.18 then case when ai_probability <= 0.10 then 'Menschlich verfasst (sehr hohe Konfidenz)' when ai_probability <= 0.25 then 'Menschlich verfasst (hohe Konfidenz)' else 'Menschlich verfasst (mittlere Konfidenz) — grenzwertig' end end as verdict from raw_predictions")
 q.add("rest_decision", lambda s, d: scores(s, d).select("prediction_id", scoring.decide_by_human(F.col("p"), 0.18).alias("verdict"), F.round(F.greatest("p", 1 - F.col("p")), 6).alias("confidence")), f"{W} select prediction_id, case when 1 - p >= 0.18 then 'Human' else 'AI' end as verdict, round(greatest(p, 1 - p), 6) as confidence from scores")
-q.add("score_batch", lambda s, d: table(s, d, "raw_predictions").select("prediction_id", F.round("ai_probability", 4).alias("p4"), scoring.decide_by_machine(F.col("ai_probability"), 0.5).alias("predicted_label")), "select prediction_id, round(ai_probability, 4) as p4, cast(ai_probability >= 0.5 as int) as predicted_label from raw_predictions")
-q.add("score_single", lambda s, d: scoring.mean_over_chunks(table(s, d, "raw_predictions"), "row_id", "ai_probability"), "select row_id, round(avg(ai_probability), 6) as p, count(ai_probability) as n_chunks from raw_predictions group by row_id")
 q.add("batch_summary", lambda s, d: scores(s, d).agg(F.sum(1 - F.col("pred")).alias("n_human"), F.sum("pred").alias("n_ai"), F.round(100 * F.avg("pred"), 6).alias("pct_ai")), f"{W} select cast(sum(1 - pred) as bigint) as n_human, cast(sum(pred) as bigint) as n_ai, round(100 * avg(pred), 6) as pct_ai from scores")
 q.add("majority_vote", lambda s, d: scoring.majority(table(s, d, "raw_predictions").withColumn("v", F.when(F.col("ai_probability") >= 0.5, "AI").when(F.col("ai_probability") < 0.5, "Human")), "row_id", "v"), "select row_id, count(case when ai_probability >= 0.5 then 1 end) as ai_votes, count(case when ai_probability < 0.5 then 1 end) as human_votes, case when count(case when ai_probability >= 0.5 then 1 end) > count(case when ai_probability < 0.5 then 1 end) then 'AI' else 'Human' end as verdict from raw_predictions group by row_id")
-q.add("predict_all", lambda s, d: scores(s, d).crossJoin(F.broadcast(s.createDataFrame([("a", 0.18), ("b", 0.5), ("c", 0.85)], "model string, t double"))).groupBy("model").agg(F.count("*").alias("n"), F.count(F.when(F.col("p") >= F.col("t"), 1)).alias("n_ai")), f"{W} select model, count(*) as n, count(case when p >= t then 1 end) as n_ai from scores, (values ('a', 0.18), ('b', 0.5), ('c', 0.85)) m(model, t) group by model")
-q.add("top_misclassified_words", lambda s, d: _with_text(s, d).where("pred <> label").select(F.when(F.col("pred") == 1, "FP").otherwise("FN").alias("side"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1)).alias("word")).groupBy("side", "word").agg(F.count("*").alias("n")).withColumn("rn", F.row_number().over(metrics.Window.partitionBy("side").orderBy(F.desc("n"), "word"))).where("rn <= 10"), f"{W}, t as (select row_id, text from test union all select row_id, text from val), w as (select case when pred = 1 then 'FP' else 'FN' end as side, unnest(regexp_extract_all(lower(text), '([a-z]{{3,}})', 1)) as word from scores join t using (row_id) where pred <> label), c as (select side, word, count(*) as n from w group by 1, 2) select side, word, n, cast(row_number() over (partition by side order by n desc, word) as int) as rn from c qualify row_number() over (partition by side order by n desc, word) <= 10")
 
 # Features.
-_TOK = "regexp_extract_all(lower(text), '([a-z0-9_]{2,})', 1)"
+_TOK = r"regexp_extract_all(lower(text), '([\p{L}\p{N}_]{2,})', 1)"
 q.add(
     "tfidf",
     lambda s, d: features.tfidf(docs(s, d), "doc_id", "text"),
@@ -94,5 +90,4 @@ def _topics(s, d):
 
 q.add("embedding_topic_filter", _topics, "select a.vec_id, round(max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])), 4) as max_cosine from embeddings a, embeddings b where b.vec_id < 11 group by a.vec_id")
 q.add("train_log_rollup", lambda s, d: table(s, d, "events").groupBy(F.when(F.col("event_id") <= 3000, 1).when(F.col("event_id") <= 6000, 2).otherwise(3).alias("epoch")).agg(F.round(F.avg("value"), 6).alias("mean_loss"), F.count("*").alias("n")), "select case when event_id <= 3000 then 1 when event_id <= 6000 then 2 else 3 end as epoch, round(avg(value), 6) as mean_loss, count(*) as n from events group by 1")
-q.add("registry_report", lambda s, d: table(s, d, "mix_targets").join(docs(s, d).groupBy("source").agg(F.count("*").alias("n")), "source", "left").select("source", F.coalesce(F.col("n").cast("string"), F.lit("N/A")).alias("n")), "select m.source, coalesce(cast(n as varchar), 'N/A') as n from mix_targets m left join (select source, count(*) as n from documents group by source) d on m.source = d.source")
 q.add("logreg", lambda s, d: features.logistic_baseline(table(s, d, "train"), table(s, d, "test")).select("row_id", F.round("p", 6).alias("p")))

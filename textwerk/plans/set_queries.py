@@ -40,15 +40,15 @@ q.add(
     lambda s, d: dedup.overlap_matrix({n: _fp(table(s, d, n)) for n in ("train", "test", "val")}, "fp"),
     f"with {_THREE} select a.s as split_a, b.s as split_b, (select count(*) from u x join u y on x.k = y.k where x.s = a.s and y.s = b.s) as n_shared, (select count(*) from u where s = b.s) as n_b, round(100.0 * (select count(*) from u x join u y on x.k = y.k where x.s = a.s and y.s = b.s) / (select count(*) from u where s = b.s), 6) as pct_of_b from (values ('test'), ('train'), ('val')) a(s), (values ('test'), ('train'), ('val')) b(s) where a.s < b.s",
 )
-q.add("split_decontaminate", lambda s, d: dedup.decontaminate(_fp(table(s, d, "test")), _fp(table(s, d, "train")), "fp").select("row_id"), f"select row_id from test where text is null or {FP} not in (select {FP} from train where text is not null)")
+q.add("split_decontaminate", lambda s, d: dedup.decontaminate(_fp(table(s, d, "test").unionByName(table(s, d, "val"))), _fp(table(s, d, "train")), "fp").select("row_id"), f"select row_id from (from test union all by name from val) where text is null or {FP} not in (select {FP} from train where text is not null)")
 _P8 = f"array_to_string(list_slice({LOWER_WORDS}, 1, 8), ' ')"
 q.add("near_dup_prefix8", lambda s, d: dedup.shared_share(*(table(s, d, n).where("text is not null").select(T.word_prefix(F.col("text")).alias("k")) for n in ("test", "train")), "k", 5.0), f"with a as (select {_P8} in (select {_P8} from train where text is not null) as hit from test where text is not null) select count(*) as n, count(case when hit then 1 end) as n_shared, round(100.0 * count(case when hit then 1 end) / count(*), 6) as pct, 100.0 * count(case when hit then 1 end) / count(*) > 5 as warned from a")
 q.add("near_dup_prefix50", lambda s, d: table(s, d, "test").where("text is not null").select(F.substring("text", 1, 50).alias("prefix")).intersect(table(s, d, "train").where("text is not null").select(F.substring("text", 1, 50).alias("prefix"))), "select substr(text, 1, 50) as prefix from test where text is not null intersect select substr(text, 1, 50) from train where text is not null")
 _G = f"list_distinct(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')) end)"
 q.add(
     "near_dup_jaccard3",
-    lambda s, d: dedup.near_jaccard(table(s, d, "val"), table(s, d, "train"), "row_id", "text"),
-    f"with a as (select row_id, {_G} as g from (select row_id, {LOWER_WORDS} as w from val where text is not null)), b as (select row_id, {_G} as g from (select row_id, {LOWER_WORDS} as w from train where text is not null)), x as (select row_id, len(g) as n, unnest(g) as t from a), y as (select row_id, len(g) as n, unnest(g) as t from b), p as (select x.row_id as eval_id, y.row_id as train_id, count(*) as c, any_value(x.n) as na, any_value(y.n) as nb from x join y on x.t = y.t group by 1, 2) select eval_id, train_id, round(c::double / (na + nb - c), 6) as jaccard from p where round(c::double / (na + nb - c), 6) > 0.8",
+    lambda s, d: dedup.near_jaccard(table(s, d, "val").unionByName(table(s, d, "test")), table(s, d, "train"), "row_id", "text"),
+    f"with a as (select row_id, {_G} as g from (select row_id, {LOWER_WORDS} as w from (select row_id, text from val union all select row_id, text from test) where text is not null)), b as (select row_id, {_G} as g from (select row_id, {LOWER_WORDS} as w from train where text is not null)), x as (select row_id, len(g) as n, unnest(g) as t from a), y as (select row_id, len(g) as n, unnest(g) as t from b), p as (select x.row_id as eval_id, y.row_id as train_id, count(*) as c, any_value(x.n) as na, any_value(y.n) as nb from x join y on x.t = y.t group by 1, 2) select eval_id, train_id, round(c::double / (na + nb - c), 6) as jaccard from p where c::double / (na + nb - c) > 0.8",
 )
 _GROUP_SQL = "case when id is null then 'unknown' when contains(id, '_seg') then string_split(id, '_seg')[1] when contains(id, '__') then string_split(id, '__')[1] when regexp_matches(id, '^gesetz_[a-zA-Z0-9]+_[0-9]+$') then regexp_extract(id, '^(gesetz_[a-zA-Z0-9]+)_[0-9]+$', 1) when regexp_matches(id, '^eupdcorp_[0-9]+_[0-9]+$') then regexp_extract(id, '^(eupdcorp_[0-9]+)_[0-9]+$', 1) when regexp_matches(id, '^[0-9]+_[^_]+_[0-9]+$') then regexp_extract(id, '^([0-9]+_[^_]+)_[0-9]+$', 1) else id end"
 q.add(
@@ -114,10 +114,9 @@ def _match_sql(edges) -> str:
 q.add("length_match_10w", lambda s, d: sampling.match_by_bin(_binned(s, d, EDGES), "bin", "label", "doc_id").select("doc_id", "label", "bin"), _match_sql(EDGES))
 q.add("length_match_v5", lambda s, d: sampling.match_by_bin(_binned(s, d, EDGES_V5), "bin", "label", "doc_id").select("doc_id", "label", "bin"), _match_sql(EDGES_V5))
 q.add("balance_min_class", lambda s, d: sampling.balance_min(docs(s, d), "label", "doc_id").select("doc_id", "label"), f"with r as (select doc_id, label, row_number() over (partition by label order by {ORDER.format('doc_id')}) as rn from documents where label is not null) select doc_id, label from r where rn <= (select min(c) from (select count(*) as c from documents where label is not null group by label))")
-q.add("stratified_equal", lambda s, d: sampling.ranked(docs(s, d).where("source is not null"), ["source"], "doc_id").where("rn <= 20").select("doc_id", "source"), f"select doc_id, source from (select doc_id, source, row_number() over (partition by source order by {ORDER.format('doc_id')}) as rn from documents where source is not null) where rn <= 20")
 _SPLIT = "case when rn <= ceil(0.5 * ceil(0.2 * n)) then 'test' when rn <= ceil(0.2 * n) then 'val' else 'train' end as split"
 q.add("split_stratified", lambda s, d: sampling.split_by_rank(docs(s, d), ["label"], "doc_id").select("doc_id", "label", "split"), f"select doc_id, label, {_SPLIT} from (select doc_id, label, row_number() over (partition by label order by {ORDER.format('doc_id')}) as rn, count(*) over (partition by label) as n from documents)")
-q.add("split_80_10_10", lambda s, d: sampling.split_by_rank(docs(s, d).where("label = 1"), ["label"], "doc_id").select("doc_id", "split"), f"select doc_id, {_SPLIT} from (select doc_id, row_number() over (order by {ORDER.format('doc_id')}) as rn, count(*) over () as n from documents where label = 1)")
+q.add("split_80_10_10", lambda s, d: sampling.split_by_rank(docs(s, d).where("label is not null"), ["label"], "doc_id").select("doc_id", "label", "split"), f"select doc_id, label, {_SPLIT} from (select doc_id, label, row_number() over (partition by label order by {ORDER.format('doc_id')}) as rn, count(*) over (partition by label) as n from documents where label is not null)")
 q.add("split_int_slices", lambda s, d: sampling.ranked(docs(s, d).where("label is not null"), ["label"], "doc_id").withColumn("n", F.count("*").over(sampling.Window.partitionBy("label"))).select("doc_id", F.when(F.col("rn") <= F.floor(F.col("n") * 0.8), "train").when(F.col("rn") <= F.floor(F.col("n") * 0.8) + F.floor(F.col("n") * 0.1), "val").otherwise("test").alias("split")), f"select doc_id, case when rn <= floor(n * 0.8) then 'train' when rn <= floor(n * 0.8) + floor(n * 0.1) then 'val' else 'test' end as split from (select doc_id, row_number() over (partition by label order by {ORDER.format('doc_id')}) as rn, count(*) over (partition by label) as n from documents where label is not null)")
 q.add("split_group_greedy", lambda s, d: sampling.greedy_group_split(table(s, d, "train").where("id is not null").groupBy(T.group_of_id(F.col("id")).alias("group_id")).agg(F.min_by("domain", "row_id").alias("domain"), F.min_by("label", "row_id").alias("label"), F.count("*").alias("n")).where("domain is not null and label is not null"), ["domain", "label"]))
 q.add("assemble_union", lambda s, d: table(s, d, "external_eval").unionByName(table(s, d, "test"), allowMissingColumns=True).select("item_id", "row_id", "source", "label"), "select item_id, cast(null as bigint) as row_id, source, label from external_eval union all select null, row_id, source, label from test")

@@ -70,16 +70,6 @@ q.add(
     lambda s, d: table(s, d, "train").select("row_id", T.group_of_id(F.col("id")).alias("group_id")),
     "select row_id, case when id is null then 'unknown' when contains(id, '_seg') then string_split(id, '_seg')[1] when contains(id, '__') then string_split(id, '__')[1] when regexp_matches(id, '^gesetz_[a-zA-Z0-9]+_[0-9]+$') then regexp_extract(id, '^(gesetz_[a-zA-Z0-9]+)_[0-9]+$', 1) when regexp_matches(id, '^eupdcorp_[0-9]+_[0-9]+$') then regexp_extract(id, '^(eupdcorp_[0-9]+)_[0-9]+$', 1) when regexp_matches(id, '^[0-9]+_[^_]+_[0-9]+$') then regexp_extract(id, '^([0-9]+_[^_]+)_[0-9]+$', 1) else id end as group_id from train",
 )
-q.add(
-    "replacement_char_words",
-    lambda s, d: table(s, d, "train").where("text is not null").select(F.explode(T.words(F.col("text"))).alias("w")).where(F.col("w").contains("�")).groupBy("w").agg(F.count("*").alias("n")),
-    f"select w, count(*) as n from (select unnest({WORDS}) as w from train where text is not null) where contains(w, '�') group by w",
-)
-q.add(
-    "token_regex_topk",
-    lambda s, d: docs(s, d).where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z1-9]{3,})"), 1)).alias("token")).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(50),
-    "select token, count(*) as n from (select unnest(regexp_extract_all(text, '([A-Za-z1-9]{3,})', 1)) as token from documents where text is not null) group by token order by n desc, token limit 50",
-)
 
 
 def _gate_sql(p: quality.Policy, view: str = "documents") -> str:

@@ -69,3 +69,33 @@ def html_paragraphs(pages: DataFrame, id_col: str, html_col: str, least: int = 3
         t = F.replace(t, F.lit(a), F.lit(b))
     d = blocks.withColumn("text", normalize_ws(t)).drop("t")
     return d.where((F.length("text") - F.length(F.replace("text", F.lit("|"), F.lit("")))) <= 2).where(word_count(F.col("text")) >= least)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, where it is read in fewer: a small file of one row group would
+    keep all work on its texts in one task. Larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def transform_all(spark: SparkSession, paths: list[str], transform, suffix: str, form: str = "parquet") -> list[str]:
+    """Each file through the same transform, written beside it with the suffix; the new paths are returned."""
+    out = []
+    for path in paths:
+        stem, dot, ext = path.rpartition(".")
+        to = f"{stem}{suffix}.{ext}" if dot and "/" not in ext else f"{path}{suffix}"
+        transform(spark.read.format(form).option("header", True).load(path)).write.mode("overwrite").format(form).option("header", True).save(to)
+        out.append(to)
+    return out
+
+
+def audit_directories(root: str, needed: dict[str, tuple[str, ...]]) -> list[dict]:
+    """For each folder of root, which kinds of files (name: any of these patterns) it has, and a message of those it
+    lacks. A look at a local folder of models, on the driver."""
+    from pathlib import Path
+
+    rows = []
+    for d in sorted(p for p in Path(root).iterdir() if p.is_dir()) if Path(root).is_dir() else []:
+        has = {k: any(next(d.glob(g), None) is not None for g in globs) for k, globs in needed.items()}
+        rows.append({"name": d.name, **has, "missing": ", ".join(k for k, ok in has.items() if not ok)})
+    return rows

@@ -37,7 +37,8 @@ def append_new(df: DataFrame, path: str, key: str = "text") -> DataFrame:
     """Appends the rows whose key isn't in the JSON lines at path yet, and returns them: an interrupted run
     goes on where it ended."""
     spark: SparkSession = df.sparkSession
-    if Path(path).exists():
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):  # wherever the path is
         df = df.join(spark.read.schema(df.schema).json(path).select(key).distinct(), key, "left_anti")
     df = df.dropDuplicates([key]).persist()
     df.write.mode("append").json(path)
