@@ -69,7 +69,7 @@ def test_budget_schedule(spark):
 
 
 def test_discards(spark):
-    df = spark.createDataFrame([(1, "Hallo: Der Plan ist gut. Er ist schlecht! 1. A"), (2, None), (3, ""), (4, "Er ist schlecht!")], "id long, text string")
+    df = spark.createDataFrame([(1, "Hallo: Der Plan ist gut. Er ist schlecht! 1."), (2, None), (3, ""), (4, "Er ist schlecht!")], "id long, text string")
     bad = spark.createDataFrame([("Er ist schlecht!",)], "template string")
     assert rows(quality.discard_combined(df, bad, "id")) == [(1, "Hallo: Der Plan ist gut."), (2, ""), (3, ""), (4, "")]
     from textwerk.functions.rules import COLON_PREFIX
