@@ -1,7 +1,7 @@
 """The operators' queries with their production parameters, over the whole tables of a directory.
 
-None has SQL: consistent forms, runs of words and character spans over whole tables are beyond what a
-database runs in reasonable time. Their tests hold them against brute force on small fixtures.
+SQL is given (oracle.py) where a result can be said in it; the others' tests hold them against brute force on
+small fixtures.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, items, looks, mixing, near, pii, prose, residue, spans, splits
+from ..sources.readers import spread
+from . import copies, items, looks, mixing, near, oracle, pii, prose, residue, spans, splits
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _evals(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -57,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
