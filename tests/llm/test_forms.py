@@ -109,6 +109,9 @@ def test_residue_evidence(text, hit):
         ("Frau Dr. Ahlersen bündelt. Die Ahlersen GmbH auch, im Ahlersen-Saal.", [("name", "Ahlersen")]),
         ("Unterzeichner: Plothötter, Lennart. gez. Nils Gerst", [("name", "Plothötter, Lennart"), ("name", "Nils Gerst")]),
         ("Oda Kelmwold erklärte, es sei so. Die Stadt Morau erklärte nichts.", [("name", "Oda Kelmwold")]),
+        ("Frau Dr. Anna Maria Luise Berta Klein kam.", [("name", "Anna Maria Luise Berta Klein")]),
+        ("Mein Name ist Heinrich Wohlgemuth. Herr Udo von der Marwitz geht.", [("name", "Heinrich Wohlgemuth"), ("name", "Udo von der Marwitz")]),
+        ("Steuer-ID: 00000000000, Personalausweis Nr. AAAAAAAA1", []),
         ("Vorgangsnummer 01316705980 betrifft das Konto @fogo vom 11.07.2025", []),
         ("", []),
     ],

@@ -32,7 +32,7 @@ ANCHORS = {
     "street": ("straße", "strasse", "str.", "allee ", "gasse ", "weg ", "platz ", "damm ", "stieg ", "ring ", "ufer ", "chaussee ", "pfad ", "steig ", "promenade "),
     "label": ("wohnhaft", "anschrift", "adresse", "im haus ", "wohnt ", "wohne ", "address"),
     "title": ("herr ", "herrn ", "frau ", "dr. ", "prof. ", "professor ", "professorin ", "mr. ", "mrs. ", "ms. ", "herr\u00a0", "frau\u00a0", "dr.\u00a0"),
-    "signed": ("gez.", "unterzeichner", "name:", "vertreten durch", "eingereicht von", "gr\u00fc\u00dfen", "gr\u00fcssen", "gezeichnet", "unterschrift", "ansprechpartner", "verfasser", "autor:", "autorin:", "kontakt:", "regards", "signed"),
+    "signed": ("gez.", "unterzeichner", "name:", "vertreten durch", "eingereicht von", "gr\u00fc\u00dfen", "gr\u00fcssen", "gezeichnet", "unterschrift", "ansprechpartner", "verfasser", "autor:", "autorin:", "kontakt:", "regards", "signed", "name ist ", "heiße ", "my name is "),
     "said": ("erkl\u00e4rte", "sagte", "betonte", "fragte", "antwortete", "meinte", "berichtete", "forderte", "erg\u00e4nzte,", "erl\u00e4uterte"),
 }
 # Words in capitals that begin sentences or are offices, and are no names.
@@ -43,7 +43,7 @@ NO_NAMES = frozenset(
 FIRMS = re.compile(r"[ \u00a0]?(?:GmbH|AG|KG|SE|UG|OHG|eG|e\.\s?V\.|Stiftung|Verlag|& Co)|-(?:Saal|Halle|Haus|Allee|Stra\u00dfe|Str\.|Platz|Weg|Gasse|Schule|Stiftung|Ring|Br\u00fccke|Park|Ufer|Preis)")
 SPACE = "[ \\t\u00a0\u2007\u202f]"
 _word = "(?:[A-Z\u00c4\u00d6\u00dc][a-z\u00e4\u00f6\u00fc\u00df\u00e9\u00e8\u00e1\u00ef\u00f4\u0131\u015f\u011f\u00e7]+(?:-[A-Z\u00c4\u00d6\u00dc][a-z\u00e4\u00f6\u00fc\u00df\u00e9]+)*|[A-Z\u00c4\u00d6\u00dc]{2,}\u00df?[A-Z\u00c4\u00d6\u00dc]*(?:-[A-Z\u00c4\u00d6\u00dc]+)*)(?![\\w])"
-_name = re.compile(f"{_word}(?:{SPACE}{_word}){{0,3}}")
+_name = re.compile(f"{_word}(?:{SPACE}(?:(?:von|van|de|zu|der|den|vom|zum){SPACE}){{0,2}}{_word})*")
 _turned = re.compile(f"({_word}),{SPACE}?({_word}(?:{SPACE}{_word})?)")
 _one = re.compile(_word)
 _titles = re.compile(f"(?:(?:Herrn?|HERRN?|Frau|FRAU|Dr\\.|DR\\.|Prof\\.|Professor(?:in)?|Mrs?\\.|Ms\\.|med\\.|jur\\.|phil\\.|h\\.{SPACE}?c\\.|Dipl\\.-Ing\\.){SPACE}+)+")
@@ -88,8 +88,6 @@ def _trim_name(text: str, a: int, b: int, least: int) -> tuple[int, int] | None:
         if m.group().lower() in NO_NAMES:
             break
         words.append(m.span())
-        if len(words) == 3:
-            break
     if len(words) < least or not words:
         return None
     return None if FIRMS.match(text, words[-1][1]) else (words[0][0], words[-1][1])
@@ -139,7 +137,8 @@ def spans(text: str, auto: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
             elif kind in ("tax", "card", "pension"):
                 m = {"tax": _tax, "card": _card, "pension": _pension}[kind].match(text, z)
                 if m and (kind != "card" or ((re.search(r"\d", m.group(1)) or _no_vowels.fullmatch(m.group(1))) and not re.search(r"[.!?]\s", text[z : m.start(1)].replace("Nr.", "Nr")))):
-                    raw["id"].add(m.span(1))
+                    if len(set(re.sub(r"\W", "", m.group(1))[:-1])) > 1:  # one sign over and over is a blank, no number
+                        raw["id"].add(m.span(1))
             elif kind == "street":
                 x = max(text.rfind("\n", 0, a) + 1, a - 60)
                 for m in _street.finditer(text, x, min(len(text), z + 80)):
@@ -183,10 +182,12 @@ def spans(text: str, auto: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
                         raw["name"].add((s, e))
                         done_name = a
     taken: list[tuple[int, int, str]] = []
+    covered = bytearray(len(text))
     for kind in KINDS:
         for a, b in sorted(raw[kind], key=lambda s: (s[0] - s[1], s[0])):  # longer first
-            if all(b <= x or a >= y for x, y, _ in taken):
+            if not any(covered[a:b]):
                 taken.append((a, b, kind))
+                covered[a:b] = b"\1" * (b - a)
     return sorted(taken)
 
 
