@@ -198,6 +198,7 @@ def shared_spans(df: DataFrame, id_col: str = "row_id", text_col: str = "text",
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).alias("text")).where((F.length("text") >= span) & F.col("text").rlike(r"\S"))
     occ = kept(occurrences(texts, span, gram))
+    occ.count()  # made here once; the two sides of the join would each make it
     # Runs of two texts at least: counted with partial sums, and joined back, where a run of many texts is split by
     # the adaptive join. No task holds all texts of a run.
     common = occ.groupBy("h").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("h")
