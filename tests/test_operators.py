@@ -41,6 +41,31 @@ def test_near_jaccard_against_brute_force(spark):
     assert {(r.eval_id, r.train_id) for r in dedup.near_jaccard(df, df, "id", "t").collect()} == want
 
 
+def shuffled_rows(spark):
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(gateway.jvm.java.util.ArrayList(), False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_near_jaccard_shuffles_prefixes_only(spark):
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(100))) for i in range(200)]
+    df = spark.createDataFrame(texts, "id long, t string")
+    before = shuffled_rows(spark)
+    assert dedup.near_jaccard(df, df.limit(3), "id", "t").count() == 3
+    assert shuffled_rows(spark) - before < 200 * 98 / 2  # all runs of all texts were shuffled twice
+
+
+def test_near_jaccard_of_runs_that_many_texts_have(spark):
+    stem = [f"w{k}" for k in range(40)]
+    texts = [" ".join(stem[: 20 + i % 21] + [f"e{i % 7}"] * (i % 3)) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    grams = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    share = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(grams[:30]) for j, b in enumerate(grams)}
+    got = dedup.near_jaccard(df.where("id < 30"), df, "id", "t", split=4).collect()
+    assert {(r.eval_id, r.train_id): r.jaccard for r in got} == {k: round(v, 6) for k, v in share.items() if v > 0.8} and len(got) > 100
+
+
 def test_greedy_split(spark):
     df = spark.createDataFrame([("a", "d", 0, 6), ("b", "d", 0, 3), ("c", "d", 0, 1)], "group_id string, domain string, label int, n long")
     out = sampling.greedy_group_split(df, ["domain", "label"])

@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trigram_set
+from ..functions.text import bound, words
+
+#: Bits of a run's hash that choose the bucket it is counted in.
+BUCKETS = 20
+#: How many runs the prefixes of two texts must share: each adds one run to a prefix, and fewer pairs share more.
+SHARED = 3
+#: Runs that more texts of a side have are joined in blocks of texts against blocks of texts.
+SPLIT = 1000
+#: A list of ids is broadcast up to this length, and joined by a shuffle beyond.
+BROADCAST_IDS = 1_000_000
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -56,24 +70,122 @@ def shared_share(evals: DataFrame, train: DataFrame, key: str, warn: float) -> D
     return n.select("n", "n_shared", pct.alias("pct")).withColumn("warned", F.col("pct") > warn)
 
 
-def near_jaccard(evals: DataFrame, train: DataFrame, id_col: str, text_col: str, threshold: float = 0.8) -> DataFrame:
-    """(eval_id, train_id, jaccard) with a Jaccard of three-word runs above the threshold.
+def trigram_hashes(text: Column) -> Column:
+    """Hashes of 64 bits of the different runs of three lower-case words; a shorter text is one run."""
+
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.when(F.size(w) < 3, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array_distinct(each))
+
+    return bound(words(F.lower(text)), runs)
+
+
+def _lists(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of batches whose last column lists hashes, of about ``most`` hashes: the part, the lengths, the hashes."""
+
+    def parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if b.num_rows > 1 and len(b.column(b.num_columns - 1).flatten()) > most:
+            yield from parts(b.slice(0, b.num_rows // 2))
+            yield from parts(b.slice(b.num_rows // 2))
+        elif b.num_rows:
+            yield b
+
+    for batch in batches:
+        for b in parts(batch):
+            g = b.column(b.num_columns - 1)
+            yield b, g.value_lengths().to_numpy(zero_copy_only=False), g.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BUCKETS)).astype(np.int64)
+
+
+def _run_counts(sets: DataFrame) -> np.ndarray:
+    """How many runs fall into each bucket, 12 MB at most whatever the input. Each task reports its sums, but for those of 1."""
+
+    def run(batches):
+        c = np.zeros(1 << BUCKETS, dtype=np.int64)
+        for _, _, h in _lists(batches):
+            c += np.bincount(_bucket(h), minlength=len(c))
+        at = np.flatnonzero(c > 1)
+        for i in range(0, len(at), 1 << 16):
+            some = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, type=pa.int32()), pa.array(c[some])], names=["b", "c"])
+
+    sums = sets.select("g").mapInArrow(run, "b int, c bigint").groupBy("b").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(1 << BUCKETS, dtype=np.int64)
+    out[sums.column("b").to_numpy()] = sums.column("c").to_numpy()
+    return out
+
+
+def _prefixes(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+    """(h, side, id, size, place): the runs in each text's prefix, the number of its runs and the place of this one among them."""
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        order = sent.value
+        for b, size, h in _lists(batches):
+            doc = np.repeat(np.arange(len(size)), size)
+            by = np.lexsort((h, order[_bucket(h)], doc))
+            place = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]  # doc is in order before and after
+            h, size = h[by], size[doc]
+            keep = place < size - np.ceil(threshold * size - 1e-6) + SHARED
+            at = pa.array(doc[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(size[keep].astype(np.int32)), pa.array(place[keep].astype(np.int32))], names=["h", "side", "id", "size", "place"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return sets.select("side", "id", "g").mapInArrow(run, f"h bigint, side int, id {kind}, size int, place int")
+
+
+def _candidates(keys: DataFrame, threshold: float, split: int) -> DataFrame:
+    """(eval_id, train_id): the different pairs whose prefixes share enough runs. Columns as from _prefixes(), and
+    ``n``, how many rows at most either side has of the run."""
+    need = threshold / (1 + threshold) * (F.col("x.size") + F.col("y.size")) - 1e-6
+
+    def join(x: DataFrame, y: DataFrame, *on: str) -> DataFrame:
+        near = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) > need - SHARED
+        near &= F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size") - 1e-6
+        for k in ("h", *on):
+            near &= F.col(f"x.{k}") == F.col(f"y.{k}")
+        return x.alias("x").join(y.alias("y"), near).select(F.col("x.id").alias("eval_id"), F.col("y.id").alias("train_id"), F.least(F.lit(SHARED), F.ceil(need)).cast("int").alias("need"))
+
+    def blocks(df: DataFrame, own: str, other: str) -> DataFrame:
+        k = F.ceil(F.col("n") / split)
+        return df.withColumns({own: F.pmod(F.xxhash64("id"), k), other: F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1))})
+
+    x, y = keys.where("side = 0"), keys.where("side = 1")
+    few, many = F.col("n") <= split, F.col("n") > split
+    both = join(x.where(few), y.where(few)).unionByName(join(blocks(x.where(many), "p", "q"), blocks(y.where(many), "q", "p"), "p", "q"))
+    return both.groupBy("eval_id", "train_id", "need").count().where("count >= need").select("eval_id", "train_id")
+
+
+def near_jaccard(evals: DataFrame, train: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, split: int = SPLIT) -> DataFrame:
+    """(eval_id, train_id, jaccard) with a Jaccard of three-word runs above the threshold. Ids are unique on either side.
 
-    Exact prefix filtering: runs are ordered by how many texts have them, and two texts above the threshold
-    share one of their floor((1 - threshold) * n) + 1 rarest; candidates are verified on whole sets. Frequent
-    runs are in a prefix only where a text has nothing rarer.
+    Exact prefix filtering: the runs of a text are put into one order for all texts, those of buckets with few
+    runs first. Two texts of a and b runs above the threshold t share at least o = t / (1 + t) (a + b) of them, so
+    the first SHARED that they share stand at places i and j with min(a - i, b - j) > o - SHARED, and among the
+    first a - ceil(t a) + SHARED and b - ceil(t b) + SHARED, whatever the order is. Only prefixes are shuffled,
+    runs that one side alone has go before the join, and candidates are verified on whole sets of hashes.
     """
-    sets = lambda df: df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), trigram_set(F.col(text_col)).alias("g"))
-    a, b = sets(evals), sets(train)
-    grams = a.select(F.lit(0).alias("side"), "id", F.size("g").alias("n"), F.explode("g").alias("t")).unionByName(b.select(F.lit(1).alias("side"), "id", F.size("g").alias("n"), F.explode("g").alias("t")))
-    grams = grams.select("side", "id", "n", F.xxhash64("t").alias("h"))
-    grams = grams.join(grams.groupBy("h").agg(F.count("*").alias("df")), "h")  # counted with partial sums; a frequent run's rows may be split
-    rank = F.row_number().over(Window.partitionBy("side", "id").orderBy("df", "h"))
-    prefix = grams.withColumn("r", rank).where(F.col("r") <= F.floor((1 - threshold) * F.col("n")) + 1)
-    x = prefix.where("side = 0").select("h", F.col("id").alias("eval_id"), F.col("n").alias("na"))
-    y = prefix.where("side = 1").select("h", F.col("id").alias("train_id"), F.col("n").alias("nb"))
-    near = (F.least("na", "nb") > threshold * F.greatest("na", "nb"))
-    pairs = x.join(y, "h").where(near).select("eval_id", "train_id").distinct()
-    full = pairs.join(a.select(F.col("id").alias("eval_id"), F.col("g").alias("ga")), "eval_id").join(b.select(F.col("id").alias("train_id"), F.col("g").alias("gb")), "train_id")
+    kept = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
+    texts = {side: df.where(F.col(text_col).isNotNull()).select(F.lit(side).alias("side"), F.col(id_col).alias("id"), F.col(text_col).alias("text")) for side, df in enumerate((evals, train))}
+    sets = lambda df: df.select(*(c for c in df.columns if c != "text"), trigram_hashes(F.col("text")).alias("g"))
+    every = sets(texts[0].unionByName(texts[1]))
+    spark = evals.sparkSession
+    keys = _prefixes(every, _run_counts(every), threshold).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h")
+    n = {side: F.count(F.when(F.col("side") == side, 1)).over(Window.partitionBy("h")) for side in (0, 1)}
+    keys = kept(keys.withColumns({"n0": n[0], "n1": n[1]}).where("n0 > 0 and n1 > 0").select("h", "side", "id", "size", "place", F.greatest("n0", "n1").alias("n")))
+    keys.count()  # made here once; the stages of the join, side by side, would each make it
+    pairs = kept(_candidates(keys, threshold, split))
+    pairs.count()
+    keys.unpersist()
+
+    def verifiable(side: int, name: str, g: str) -> DataFrame:
+        ids = kept(pairs.select(F.col(name).alias("id")).distinct())
+        some = texts[side].join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+        return sets(some).select(F.col("id").alias(name), F.col("g").alias(g))
+
+    full = pairs.join(verifiable(0, "eval_id", "ga"), "eval_id").join(verifiable(1, "train_id", "gb"), "train_id")
     both = F.size(F.array_intersect("ga", "gb")).cast("double")
     return full.withColumn("j", both / (F.size("ga") + F.size("gb") - both)).where(F.col("j") > threshold).select("eval_id", "train_id", F.round("j", 6).alias("jaccard"))
