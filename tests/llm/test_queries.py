@@ -209,6 +209,21 @@ def test_residue_where_recurrent_lines_are_all_of_a_record(spark):
     assert {r.row_id for r in residue.found(spark.createDataFrame(data, SCHEMA)).collect()} == {*range(30), *range(100, 130)}
 
 
+def test_residue_counts_the_lines_of_all_records(spark):
+    page, foot = "404 Not Found", "Alle Angaben sind ohne Gewähr."
+    data = [(i, f"{page}\n{foot}" if i < 2 else f"{page}\nVorgang {i}", 0, "host", None) for i in range(40)]
+    data += [(100 + i, f"Der Rat tagt heute zum Thema {i}.\n{foot}", 0, "host", None) for i in range(60)]
+    # Boilerplate is all of records 0 and 1: two of the pages have the footer, but 62 of the host's 100 records.
+    assert {r.row_id for r in residue.found(spark.createDataFrame(data, SCHEMA)).collect()} == {0, 1}
+
+
+def test_residue_seeks_evidence_in_what_remains(spark):
+    note = "Bitte aktivieren Sie JavaScript"
+    data = [(i, f"Der Rat tagt heute zum Thema {i}.\n{note}", 0, "host", None) for i in range(50)]
+    data += [(100, f"500 Server Error\n{note}", 0, "host", None), (101, f"Am {{{{datum}}}} war es.\n{note}", 0, "host", None), (102, "İ" * 40 + " 404 not found", 0, "host", None)]
+    assert {r.row_id for r in residue.found(spark.createDataFrame(data, SCHEMA)).collect()} == {100, 101, 102}
+
+
 def test_prose(spark, empty):
     base = [(i, f"Die Stadt {w} prüft den neuen Plan, weil der Rat nicht mehr warten will und das {w} fehlt.", 0, "s", None) for i, w in enumerate(WORDS * 4)]
     junk = [(1000, "\n".join(f"{w}\t{i}\t–" for i, w in enumerate(WORDS[:12])), 0, "s", None), (1001, "~%|$ ##|^ ?%-%$0_&m1&?#_1b#", 0, "s", None), (1002, "!!!", 0, "s", None), (1003, None, 0, "s", None), (1004, " ", 0, "s", None)]

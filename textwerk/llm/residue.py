@@ -1,9 +1,9 @@
 """Problem 1: template residue, filler, error pages and notices that scripts are required.
 
-Normalised lines are counted by host (``source``); lines that recur in more than a share ``recurrent`` of a
-host's records are its boilerplate (a footer, a notice the host puts under every page) and are subtracted;
-a record is excluded if what remains of it holds evidence, or if nothing remains, as boilerplate was all of it.
-Only records with evidence can be cases, so only their lines are counted, exactly and over all records.
+The normalised lines of all records are counted by host (``source``); lines that recur in more than a share
+``recurrent`` of a host's records are its boilerplate (a footer, a notice the host puts under every page) and are
+subtracted; a record is excluded if what remains of it holds evidence, or if nothing remains, as boilerplate was
+all of it. What is subtracted only matters where a record holds what may be evidence: those alone keep their text.
 
 Evidence is sought in the consistent form of the text, letter case ignored: one Aho-Corasick automaton over
 wordings of error pages, notices and fillers and over stems that such sentences need, patterns of what a short
@@ -14,6 +14,7 @@ on, text to be put in), and patterns of placeholders. A wording within quotation
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 
 import ahocorasick
 import pyarrow as pa
@@ -114,11 +115,18 @@ def _noise(text: str, spans: list[tuple[int, int]]) -> bool:
     return sum(c.isalnum() or c.isspace() for c in rest) < 0.7 * len(rest)
 
 
-def evidence(text: str, auto: ahocorasick.Automaton) -> list[tuple[str, int]]:
-    """(kind, place) of the evidence in a text that is in the consistent form."""
-    spans = placeholders(text)
-    out = [("placeholder", a) for a, _ in spans] if spans and not _noise(text, spans) else []
+def _lower(text: str) -> str:
+    """The text in lower case with each character at its place."""
     low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
+def evidence(text: str, auto: ahocorasick.Automaton, whole: bool = True) -> list[tuple[str, int]]:
+    """(kind, place) of the evidence in a text that is in the consistent form; where it isn't ``whole``, of all that
+    may be evidence in a part of it: placeholders amid noise and sentences beside other evidence too."""
+    spans = placeholders(text)
+    out = [("placeholder", a) for a, _ in spans] if spans and not (whole and _noise(text, spans)) else []
+    low = _lower(text)
     lorem = False
     cues: list[int] = []
     for end, (kind, n) in auto.iter(low):
@@ -129,7 +137,7 @@ def evidence(text: str, auto: ahocorasick.Automaton) -> list[tuple[str, int]]:
             cues.append(a)
         elif not (a and (low[a - 1].isalnum() or low[a - 1] in "„“\"»‚'")) and low[end + 1 : end + 2] not in ("“", "«"):
             out.append((kind, a))
-    if cues and not out:
+    if cues and not (whole and out):
         for m in _sentence.finditer(low):
             if any(m.start() <= a < m.end() for a in cues) and len(m.group().split()) <= NOTICE_WORDS and not any(q in m.group() for q in "„“”\"«»"):
                 out += [(kind, m.start()) for kind, says in _SAYS if says.match(m.group())][:1]
@@ -138,35 +146,70 @@ def evidence(text: str, auto: ahocorasick.Automaton) -> list[tuple[str, int]]:
     return out
 
 
+def lines(text: str, marks: list[tuple[str, int]]) -> list[tuple[int, int, int, int | None]]:
+    """(start, end, end of the separator after it, key) of each line; lines of the same content have the same key,
+    those without letters, digits or marks have none. Content that differs in a number alone is not the same
+    content, a notice that does is the same."""
+    out = []
+    breaks = [(0, 0), *(m.span() for m in _line.finditer(text)), (len(text), len(text))]
+    for (_, a), (z, end) in zip(breaks, breaks[1:]):
+        low, marked, key = text[a:z].lower(), any(a <= at < z for _, at in marks), None
+        if marked or any(map(str.isalnum, low)):
+            words = " ".join(_word.findall(low)) if marked else ""
+            line = f"notice {words}" if words else f"line {' '.join(low.split())}"
+            key = int.from_bytes(blake2b(line.encode(), digest_size=8).digest(), "big", signed=True)
+        out.append((a, z, end, key))
+    return out
+
+
 def evidence_lines(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """(row, host, line, kind): the normalised lines of each record that holds evidence; kind is null for its lines
-    without any."""
-    src = df.select(F.col(id_col).cast("bigint"), F.col(host_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull())
+    """(row, host, lines, kinds, text): for each record with a text the keys of its different lines; kinds and text
+    (in the consistent form) where it holds what may be evidence: kinds are those of the text as a whole."""
+    src = df.select(F.col(id_col).cast("bigint"), F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.col(text_col)).where(F.col(text_col).isNotNull())
 
     def make():
         auto = automaton()
 
         def fn(b: pa.RecordBatch) -> dict:
-            out: dict = {"row": [], "host": [], "line": [], "kind": []}
-            for row, host, text in zip(*(c.to_pylist() for c in b.columns)):
+            out: dict = {"row": b.column(0), "host": b.column(1), "lines": [], "kinds": [], "text": []}
+            for text in b.column(2).to_pylist():
                 text = consistent_form(text)
-                if not (hits := evidence(text, auto)):
-                    continue
-                breaks = [(0, 0), *(m.span() for m in _line.finditer(text)), (len(text), len(text))]
-                for (_, a), (z, _) in zip(breaks, breaks[1:]):
-                    raw = text[a:z]
-                    kinds = {kind for kind, at in hits if a <= at < z}
-                    if kinds or any(map(str.isalnum, raw)):
-                        # Content that differs in a number alone is not the same content.
-                        line = (" ".join(_word.findall(raw.lower())) if kinds else "") or " ".join(raw.lower().split())
-                        for kind in kinds or (None,):
-                            for k, v in zip(out, (row, host, line, kind)):
-                                out[k].append(v)
+                marks = evidence(text, auto, whole=False)
+                out["lines"].append(list({key for *_, key in lines(text, marks) if key is not None}))
+                out["kinds"].append(sorted({kind for kind, _ in evidence(text, auto)}) if marks else None)
+                out["text"].append(text if marks else None)
             return out
 
         return fn
 
-    return map_batches(src, make, "row bigint, host string, line string, kind string")
+    return map_batches(src, make, "row bigint, host string, lines array<bigint>, kinds array<string>, text string")
+
+
+def remaining(text: str, gone: set[int], auto: ahocorasick.Automaton) -> set[str]:
+    """The kinds of evidence in what remains of a text without the lines whose keys are gone; in all of the text if
+    nothing remains."""
+    hits = evidence(text, auto)
+    rest, left, bare = "", set(), True
+    for a, z, end, key in lines(text, evidence(text, auto, whole=False)):
+        if key not in gone:
+            rest += text[a:end]
+            left |= {kind for kind, at in hits if a <= at < z}
+            bare &= key is None
+    return {kind for kind, _ in hits} if bare else left | {kind for kind, _ in evidence(rest, auto)}
+
+
+def evidence_left(df: DataFrame) -> DataFrame:
+    """(row, kinds) of (row, text, gone), where gone are the keys of a record's lines that are its host's boilerplate."""
+
+    def make():
+        auto = automaton()
+
+        def fn(b: pa.RecordBatch) -> dict:
+            return {"row": b.column(0), "kinds": [sorted(remaining(text, set(gone), auto)) for text, gone in zip(*(c.to_pylist() for c in b.columns[1:]))]}
+
+        return fn
+
+    return map_batches(df.select("row", "text", "gone"), make, "row bigint, kinds array<string>")
 
 
 def is_unfilled(meta):
@@ -181,16 +224,17 @@ def residue(df: DataFrame, id_col: str = "row_id", text_col: str = "text", meta_
     a host's boilerplate if two or more of its records have it and the share of its records with a text that do
     is surely above ``recurrent``: the lower end of the share's confidence interval (Wilson's, of ``sure``
     standard deviations) is. Null and blank texts hold no evidence; records without a host are one host."""
-    lines = kept(evidence_lines(df, id_col, text_col, host_col).withColumn("host", F.coalesce("host", F.lit(""))))
-    totals = df.where(F.col(text_col).isNotNull()).groupBy(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")).agg(F.count("*").alias("total"))
-    counts = lines.select("host", "line", "row").distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
+    records = kept(evidence_lines(df, id_col, text_col, host_col))
+    totals = records.groupBy("host").agg(F.count("*").alias("total"))
+    counts = records.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1")
     n, z = F.col("total"), sure
     p = F.col("n") / n
     low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    boiler = counts.join(totals, "host").where((F.col("n") > 1) & (low > recurrent)).select("host", "line")
-    left = kept(lines.join(boiler, ["host", "line"], "left_anti").select("row", "kind"))
-    bare = lines.join(left.select("row").distinct(), "row", "left_anti").select("row", "kind")
-    left = left.unionByName(bare).where(F.col("kind").isNotNull())
+    boiler = counts.join(totals, "host").where(low > recurrent).groupBy("host").agg(F.collect_list("line").alias("boiler"))
+    marked = records.where(F.col("text").isNotNull()).join(boiler, "host", "left")
+    marked = kept(marked.select("row", "kinds", "text", F.coalesce(F.array_intersect("lines", "boiler"), F.array().cast("array<bigint>")).alias("gone")))
+    left = marked.where(F.size("gone") == 0).select("row", "kinds").unionByName(evidence_left(marked.where(F.size("gone") > 0)))
+    left = left.select("row", F.explode("kinds").alias("kind"))
     meta = df.where(is_unfilled(F.col(meta_col)) & F.col(text_col).rlike(r"\S")).select(F.col(id_col).cast("bigint").alias("row"), F.lit("meta").alias("kind"))
     return left.unionByName(meta).groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")).withColumnRenamed("row", "row_id")
 
